@@ -121,11 +121,11 @@ class WordBpe:
         order = np.argsort(word, kind="stable")
         return ids[order], np.append(0, np.cumsum(np.bincount(word, minlength=len(words))))
 
-    def pieces(self, text: str) -> list[str]:
-        """Normalised words, and special tokens as themselves."""
+    def pieces(self, text: str, special: bool = True) -> list[str]:
+        """Normalised words, and special tokens as themselves (or else as ordinary text)."""
         out = []
-        for part in self.specials.split(text) if "<|" in text else (text,):
-            if part in self.special:
+        for part in self.specials.split(text) if special and "<|" in text else (text,):
+            if special and part in self.special:
                 out.append(part)
             elif part:
                 part = unicodedata.normalize("NFC", part)
@@ -159,11 +159,11 @@ class WordBpe:
             for w, a, b in zip(new, starts, starts[1:]):
                 self.words[w] = (raw[4 * a : 4 * b], names[a] if b - a == 1 else " ".join(names[a:b]))
 
-    def encoded(self, texts: list[str | None], step: int = 1024) -> Iterator[tuple[bytes, str]]:
+    def encoded(self, texts: list[str | None], step: int = 1024, special: bool = True) -> Iterator[tuple[bytes, str]]:
         """For each text its ids, little-endian unsigned 32-bit, and the text decoded from them:
         without a decoder of its own the file's tokens are joined by spaces."""
         for k in range(0, len(texts), step):
-            words = [self.pieces(t or "") for t in texts[k : k + step]]
+            words = [self.pieces(t or "", special) for t in texts[k : k + step]]
             self.learn(words)
             for w in words:
                 found = [self.words[x] for x in w]
