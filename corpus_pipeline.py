@@ -6,8 +6,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import bpe, exact, mixing, simhash
-from rollcall.llm.frames import checkpoint_folder
+from rollcall.llm import bpe, exact, mixing, quality, simhash
+from rollcall.llm.frames import checkpoint_folder, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule or the learned rules reject go."""
+    return quality.keep_good(docs, quality.learned(docs, table(spark, sf_dir, "labels")))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,6 +36,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality_rules", quality_stage),
     ("exact_dedup", exact_stage),
     ("simhash_near_dedup", near_stage),
     ("mixing", mixing_stage),
