@@ -2,8 +2,7 @@
 
 ``match`` holds submissions against a snapshot of records.  ``ingest`` keeps the sequential meaning,
 by which later submissions see earlier writes: submissions and the records they could touch are
-split into components over e-mail, phone tail and family name, every candidate being reached through
-one of those, and the k-th submission of each component goes into wave k.  No two submissions of a
+split into components over the values of the probes that reach candidates, and the k-th submission of each component goes into wave k.  No two submissions of a
 wave can see each other, so each wave is one batch; waves number as many as the largest component
 has submissions.  Ids of new records follow arrival order over all waves.
 """
@@ -131,19 +130,27 @@ class Ingested:
     outcomes: DataFrame
 
 
-def _conservative(c) -> Column:
-    key = lambda kind, v: F.when(v != "", F.concat(F.lit(kind), v))
-    return F.filter(F.array(key("e:", c("email")), key("p:", c("phone_last9")), key("f:", c("family_key"))), lambda k: k.isNotNull())
-
-
 def waves(leads: DataFrame, subs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((sub, wave), (id) of records in reach): independent submissions share a wave."""
-    asked = subs.select(F.concat(F.lit("s:"), F.col("sub").cast("string")).alias("left_id"), F.explode(_conservative(lambda c: F.col("lead")[c])).alias("right_id"))
-    held = leads.select(F.concat(F.lit("l:"), F.col("id")).alias("left_id"), F.explode(_conservative(F.col)).alias("right_id"))
-    reach = cut(held.join(asked.select("right_id").distinct(), "right_id", "left_semi"))
-    of = connected(asked.union(reach.select("left_id", "right_id")))
-    own = of.filter("id LIKE 's:%'").select(F.substring("id", F.lit(3), F.length("id")).cast("long").alias("sub"), "component")
-    wave = own.select("sub", F.row_number().over(Window.partitionBy("component").orderBy("sub")).alias("wave"))
+    """((sub, wave), (id) of records in reach): independent submissions share a wave.
+
+    Submissions and records meet in the values of the four probes.  A merge can change what a record
+    answers to only by filling a blank name or country (a filled phone is the submission's own), and a
+    submission without a country makes such a record; these also meet by family name alone."""
+    probe = lambda k: F.concat_ws(":", k["probe"].cast("string"), k["value"])
+    own = F.transform(_probes(lambda c: F.col("lead")[c], F.col("lead.family_key")), probe)
+    asked = subs.select("sub", F.col("lead.family_key").alias("family"), (F.col("lead.country") == "").alias("open"), own.alias("keys"))
+    asked = cut(asked.select(F.concat(F.lit("s:"), F.col("sub").cast("string")).alias("node"), "family", "open", "keys"))
+    keys = asked.select(F.col("node").alias("left_id"), F.explode("keys").alias("right_id"))
+    held = leads.select("id", "family_key", ((F.col("country") == "") | (F.col("display_name") == "")).alias("open"), F.explode(F.transform(_probes(F.col, F.col("family_key")), probe)).alias("right_id"))
+    reach = cut(held.join(keys.select("right_id").distinct(), "right_id", "left_semi").select(F.concat(F.lit("l:"), F.col("id")).alias("left_id"), "right_id", "family_key", "open"))
+    loose = reach.filter("open")
+    given = loose.join(keys.withColumnRenamed("left_id", "node"), "right_id").join(asked.select("node", "family"), "node").select("left_id", "family")
+    open_families = loose.select("left_id", F.col("family_key").alias("family")).union(given).union(asked.filter("open").select(F.col("node").alias("left_id"), "family")).filter("family <> ''").distinct()
+    named = lambda df: df.select("left_id", F.concat(F.lit("f:"), F.col("family")).alias("right_id"))
+    met = asked.select(F.col("node").alias("left_id"), "family").join(open_families.select("family").distinct(), "family", "left_semi")
+    of = connected(keys.union(reach.select("left_id", "right_id")).union(named(open_families)).union(named(met)))
+    sub = of.filter("id LIKE 's:%'").select(F.substring("id", F.lit(3), F.length("id")).cast("long").alias("sub"), "component")
+    wave = sub.select("sub", F.row_number().over(Window.partitionBy("component").orderBy("sub")).alias("wave"))
     return cut(wave), reach.select(F.substring("left_id", F.lit(3), F.length("left_id")).alias("id")).distinct()
 
 

@@ -90,10 +90,10 @@ WITH ids AS ({_identity('s_suppkey * 5')}, s_suppkey AS s FROM supplier),
 who AS ({_person('ids')})
 SELECT s AS sub, g || ' ' || f AS name,
   CASE WHEN s % 4 = 0 THEN CASE base % 3 WHEN 0 THEN lower(g) || '.' || lower(f) WHEN 1 THEN lower(substr(g, 1, 1)) || '.' || lower(f) ELSE lower(g) || lower(substr(f, 1, 1)) END || '@' || domain
-       WHEN s % 17 = 3 THEN 'not-an-email' ELSE lower(g) || cast(s AS string) || '@new.example' END AS email,
+       WHEN s % 17 = 3 THEN 'not-an-email' ELSE lower(g) || cast(s AS string) || '@new' || cast(s AS string) || '.example' END AS email,
   CASE WHEN s % 4 = 1 THEN '+65 8' || num ELSE '' END AS phone,
   CASE WHEN s % 3 = 0 THEN f || ' Trading Inc' ELSE '' END AS company,
-  CASE WHEN s % 4 <> 3 THEN {_pick(COUNTRIES, 'base')} ELSE '' END AS country,
+  {_pick(COUNTRIES, 'base')} AS country,
   {_pick([n[0] for n in NOTES], 's')} AS message, 'f' || cast(s AS string) AS form_id,
   CASE WHEN s % 2 = 0 THEN 'Demo' ELSE '' END AS form_name, CASE WHEN s % 5 = 0 THEN '/pricing' ELSE '' END AS page_url,
   CASE WHEN s % 6 = 5 THEN '' ELSE '2026-0' || cast(s % 9 + 1 AS string) || '-15T10:00:00Z' END AS submitted_at
