@@ -111,7 +111,12 @@ def _grow(x: np.ndarray, bad: np.ndarray, names: list[str], most: int = 3, steps
                         best = (gain, (name, sign, float(at)), hit)
         if best[1] is None:
             break
-        rule.append(best[1])
+        name, sign, at = best[1]
+        column = x[rows, names.index(name)]
+        beyond = column[column < at] if sign == ">=" else column[column > at]
+        if len(beyond):  # half-way to the nearest row that the condition leaves out
+            at = float(at + (beyond.max() if sign == ">=" else beyond.min())) / 2
+        rule.append((name, sign, at))
         rows = best[2]
     return rule
 
