@@ -12,7 +12,7 @@ shards; there are at most ``most_shards`` for each source, and one task sorts th
 shard.  The driver holds one row for each source: sources are a dimension, not data.
 
 Edge cases: a null text has no word; the null source is one source, last in order; sources without a
-word get target zero; rows that repeat an id are documents of their own; an empty table gives an
+word get target zero and documents without one aren't in the mix; rows that repeat an id are documents of their own; an empty table gives an
 empty result; extra columns are carried by ``mix`` whatever their names.
 """
 
@@ -76,7 +76,7 @@ def _sizes(docs: DataFrame, size: Column, seed: int) -> DataFrame:
     return docs.withColumn("_size", size).withColumn("_order", F.xxhash64(F.lit(seed), F.col("_id"), F.col("_size")))
 
 
-def _shard_quotas(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _shard_quotas(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """One source's blocks over its shards: at most MOST_SHARDS rows."""
     rows = rows.sort_values("_shard")
     block, most = int(rows["_block"].iloc[0]), int(rows["_most"].iloc[0])
@@ -139,7 +139,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED, **lim
     at = apportioned(rows, block_words=block_words, seed=seed, **limits).withColumns(_arc(block_words, seed))
     some = lambda low, high: F.when((F.col(low) == 0) & (F.col(high) == F.col("_size")), text_of("_row.text")).otherwise(
         F.concat_ws(" ", F.slice(F.regexp_extract_all(text_of("_row.text"), F.lit(WORD), F.lit(0)), (F.col(low) + 1).cast("int"), (F.col(high) - F.col(low)).cast("int"))))
-    whole = F.array_repeat(text_of("_row.text"), F.col("_passes").cast("int"))
+    whole = F.array_repeat(text_of("_row.text"), F.when(F.col("_size") > 0, F.col("_passes")).otherwise(0).cast("int"))
     parts = [F.when(F.col(high) > F.col(low), F.array(some(low, high))).otherwise(F.array().cast("array<string>")) for low, high in (("_a", "_b"), ("_c", "_d"))]
     at = at.withColumn("_text", F.explode(F.concat(whole, *parts)))
     given = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
