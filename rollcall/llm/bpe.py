@@ -24,13 +24,12 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .frames import table
+from .frames import small, table, text_rows
 
 TOKENIZER = "word_bpe_49k.json"
 #: Words that a worker remembers before it starts again.
-WORDS_HELD = 500_000
+WORDS_HELD = 150_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -52,9 +51,9 @@ class WordBpe:
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
         model = data["model"]
-        self.vocab: dict[str, int] = model["vocab"]
+        vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
-        self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.end = model["end_of_word_suffix"] or ""
         pattern = data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pattern = regex.compile(pattern)
@@ -65,8 +64,8 @@ class WordBpe:
         self.specials = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")")
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.width = max(self.tokens) + 1
-        left, right = (np.array([self.vocab[p[k]] for p in pairs], np.int64) for k in (0, 1))
-        into = np.array([self.vocab[a + b] for a, b in pairs], np.int64)
+        left, right = (np.array([vocab[p[k]] for p in pairs], np.int64) for k in (0, 1))
+        into = np.array([vocab[a + b] for a, b in pairs], np.int64)
         key, first = np.unique(left * self.width + right, return_index=True)  # a repeated pair keeps its lower rank
         self.pair_keys, self.ranks, self.into = key, first, into[first]
         made = np.full(self.width, -1, np.int64)
@@ -74,8 +73,8 @@ class WordBpe:
         #: A merge never outranks the one that made its parts: all equal pairs of a word can merge in one round.
         self.ordered = bool((np.maximum(made[left], made[right]) < np.arange(len(into))).all())
         symbols = byte_symbols()
-        self.inner = np.array([self.vocab[s] for s in symbols], np.int64)
-        self.last = np.array([self.vocab[s + self.end] for s in symbols], np.int64)
+        self.inner = np.array([vocab[s] for s in symbols], np.int64)
+        self.last = np.array([vocab[s + self.end] for s in symbols], np.int64)
         self.words: dict[str, tuple[bytes, str]] = {}
 
     def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +158,7 @@ class WordBpe:
             for w, a, b in zip(new, starts, starts[1:]):
                 self.words[w] = (raw[4 * a : 4 * b], names[a] if b - a == 1 else " ".join(names[a:b]))
 
-    def encoded(self, texts: list[str | None], step: int = 1024, special: bool = True) -> Iterator[tuple[bytes, str]]:
+    def encoded(self, texts: list[str | None], step: int = 256, special: bool = True) -> Iterator[tuple[bytes, str]]:
         """For each text its ids, little-endian unsigned 32-bit, and the text decoded from them:
         without a decoder of its own the file's tokens are joined by spaces."""
         for k in range(0, len(texts), step):
@@ -193,11 +192,12 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
-        for b in batches:
+        for b in small(batches):
             ids, decoded = zip(*bpe.encoded(b.column(1).to_pylist())) if b.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.large_binary()).cast(pa.binary()), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
+        bpe.words = {}
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary, decoded string")
+    return text_rows(docs).mapInArrow(run, "doc_id long, ids binary, decoded string")
 
 
 def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -205,15 +205,16 @@ def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
-        for b in batches:
+        for b in small(batches):
             n, first, second = [], [], []
             for ids, decoded in bpe.encoded(b.column(1).to_pylist()):
                 n.append(len(ids) // 4)
                 first.append(hashlib.sha256(ids).hexdigest())
                 second.append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.words = {}  # the worker lives on; its tables do, its words don't
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return text_rows(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

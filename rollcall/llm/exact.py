@@ -28,10 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import cut, one_each, packed, table, text_of, unpacked
+from .frames import cut, one_each, packed, small, table, text_of, text_rows, unpacked
 
 #: Bytes of distinct text that a table holds before its records go to spill files.
-TABLE_BYTES = 96 << 20
+TABLE_BYTES = 32 << 20
 FANOUT = 16
 PARTIAL = "h long, text binary, keep_id long, n long"
 
@@ -148,7 +148,7 @@ def _distinct_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     def records() -> Iterator[tuple]:
         held = Table()
-        for b in batches:
+        for b in small(batches):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 t = normalised(text)
                 held.add(xxhash.xxh64_intdigest(t), t, doc, 1)
@@ -164,7 +164,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bucket side: Grace hashing of the dealt records, out as one row for each distinct text."""
 
     def records() -> Iterator[tuple]:
-        for b in batches:
+        for b in small(batches):
             for h, text, doc, n in zip(*(b.column(k).to_pylist() for k in range(4))):
                 yield h & ((1 << 64) - 1), text, doc, n
 
@@ -184,14 +184,14 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         sha = [hashlib.sha256(normalised(t)).digest() for t in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sha, pa.binary())], names=["doc_id", "sha"])
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """(sha, keep_id, group_size): one row for each distinct normalised text."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = text_rows(docs)
     partial = rows.mapInArrow(_distinct_here, PARTIAL)
     return partial.repartition("h").mapInArrow(_merge, "sha binary, keep_id long, group_size long")
 
@@ -200,7 +200,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``.
 
     Of rows that repeat an id and a text, ``kept`` is true for one."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = text_rows(docs)
     thin = cut(rows.mapInArrow(_digests, "doc_id long, sha binary").select("doc_id", "sha", F.monotonically_increasing_id().alias("uid")))
     best = thin.groupBy("sha").agg(F.max(F.struct("doc_id", "uid")).alias("best")).select("sha", F.col("best.uid").alias("best"))
     decided = groups(docs).join(best, "sha")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,10 +47,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch: a JVM task and its worker hold one batch of whole texts each, and some
+#: texts are very long.
+BATCH_ROWS = 1_000
+
+
+def text_rows(docs: DataFrame) -> DataFrame:
+    """doc_id and text for a Python worker, in batches of few rows unless the session asks for fewer."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices, so that few texts at a time are Python objects; at the end of a task
+    its worker, which Spark keeps, gives free memory back."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+        del b
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def one_each(df: DataFrame, keys: list[str], repeated: bool) -> DataFrame:
     """One row for each key.  ``repeated`` is an exact finding of the caller's, made on thin rows;
     without repeats the rows need no further shuffle."""

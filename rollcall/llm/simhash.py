@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import cut, one_each, packed, table, unpacked
+from .frames import cut, one_each, packed, small, table, text_rows, unpacked
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -69,7 +69,7 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_signed(fp))], names=["doc_id", "fp"])
 
@@ -265,7 +265,7 @@ def links(fps: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
 
 def near_groups(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, fingerprint, component_id for every row of ``docs``."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = text_rows(docs)
     thin = cut(rows.mapInArrow(_fingerprints, "doc_id long, fp long"))
     return _named(thin, bucket_rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -282,7 +282,7 @@ def _named(thin: DataFrame, bucket_rows: int) -> DataFrame:
 
 def dedup(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The documents with one of each group: the one with the smallest id, then fingerprint."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = text_rows(docs)
     thin = cut(rows.mapInArrow(_fingerprints, "doc_id long, fp long"))
     named = cut(_named(thin, bucket_rows).groupBy("root", "doc_id", "fp").agg(F.count("*").alias("n")))
     best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("best"))
@@ -301,7 +301,7 @@ def dedup(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
 
 
 def _add_fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         fp = np.array([fingerprint(t) for t in b.column("_text").to_pylist()], dtype=np.uint64)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_signed(fp))], names=[b.schema.names[0], "_id", "_fp"])
 

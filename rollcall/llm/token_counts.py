@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer
-from .frames import table
+from .frames import small, table, text_rows
 
 #: 49,408 ids fit two bytes; the separator is the vocabulary's own end of text.
 DTYPE = "<u2"
@@ -56,7 +56,7 @@ def pack(docs: DataFrame, path: str | None = None, dtype: str = DTYPE, block_tok
             ends[:] = [(e - len(data), d) for e, d in ends if e >= len(data)]
             return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block]), pa.array([data], pa.binary()), pa.array([own], pa.list_(pa.int64()))], names=["file", "block", "data", "doc_ids"])
 
-        for b in batches:
+        for b in small(batches):
             for doc, (ids, _) in zip(b.column(0).to_pylist(), bpe.encoded(b.column(1).to_pylist(), special=False)):
                 buffer += np.frombuffer(ids, "<u4").astype(dtype).tobytes()
                 ends.append((len(buffer), doc))
@@ -67,8 +67,9 @@ def pack(docs: DataFrame, path: str | None = None, dtype: str = DTYPE, block_tok
                     block += 1
         if buffer:
             yield out(bytes(buffer))
+        bpe.words = {}
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "file string, block long, data binary, doc_ids array<long>")
+    return text_rows(docs).mapInArrow(run, "file string, block long, data binary, doc_ids array<long>")
 
 
 def scanned(blocks: DataFrame, separator: int, dtype: str = DTYPE, carry: tuple[str, ...] = ()) -> DataFrame:

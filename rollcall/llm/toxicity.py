@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import cut, table
+from .frames import cut, small, table, text_rows
 
 #: Labelled rows that the model is fitted on: the first by hash of the id.
 LABELLED_ROWS = 20_000
@@ -280,11 +280,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     lexicon = model.lexicon
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             x = np.array([features(t, lexicon) for t in b.column(1).to_pylist()], float).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    rows = text_rows(docs).mapInArrow(run, "doc_id long, score double")
     return rows.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
