@@ -3,16 +3,16 @@
 A gear rolling hash runs over the words of a text, joined by single spaces and lower-cased (A-Z); a
 chunk ends at a word whose last byte's hash has its top bits clear, within bounds in words.  The hash
 sees the last 16 bytes only, so chunks resynchronise soon after an insertion.  Chunks are
-deduplicated by a 128-bit digest: of equal chunks the first occurrence, by id and place, stays, the
-others are copies.  Neighbouring copies are joined into spans, and spans of at least ``least_words``
+deduplicated by a 96-bit digest: of equal chunks those of the smallest id stay, the others are
+copies.  Neighbouring copies are joined into spans, and spans of at least ``least_words``
 words are reported, in code points of the original text.
 
 Only thin rows are shuffled.  Counting is partially aggregated, the join back is by digest with the
 rows on the side that Spark may split, and spans are made for each document from its own chunks.
 
 Edge cases: null and empty texts have no chunk; text that has fewer words than a chunk is one chunk;
-rows that repeat an id are told apart by a hash of the text and count as one if that is equal too; an
-empty table gives an empty result; extra columns are ignored.
+rows that repeat an id are one document, whose texts are told apart by a hash; a null id is the
+smallest; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,12 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .frames import table
+from .frames import small, table, text_rows
 
-LEAST, BITS, MOST = 4, 3, 24
-#: Words that neighbouring copies must hold together.  A passage of 50 words or more that repeats
-#: loses at most a chunk (24 words) at either side.
-LEAST_WORDS = 16
+LEAST, BITS, MOST = 3, 2, 16
+#: Words that neighbouring copies must hold together.  A passage that repeats loses what it shares
+#: of a chunk at either side, six words on average and 16 at most.
+LEAST_WORDS = 12
 WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) for b in range(256)], np.uint32)
 
@@ -77,32 +77,53 @@ def chunks(text: str | None) -> tuple[list[bytes], list[int], list[int], list[in
     return out, starts.tolist(), stops.tolist(), (final - first + 1).tolist()
 
 
+CHUNK = "d long, e int, doc_id long, th int, place int, span long"
+
+
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "th", "d", "k", "start", "end", "words"]
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-    rows: list[list] = [[] for _ in names]
-    for b in batches:
+    """Fixed-width rows: digest (d, e), document, hash of its text, place and words, start and end."""
+    names = ["d", "e", "doc_id", "th", "place", "span"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+    parts: list[list[pa.Array]] = []
+    held = 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts)], names=names)
+
+    for b in small(batches):
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            found = chunks(text)
-            n = len(found[0])
-            th = xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"))
-            for column, values in zip(rows, ([doc] * n, [th - (1 << 64) if th >> 63 else th] * n, found[0], range(n), *found[1:])):
-                column.extend(values)
-            if len(rows[0]) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=names)
-                rows = [[] for _ in names]
-    if rows[0]:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=names)
+            digests, starts, ends, words = chunks(text)
+            if not (n := len(digests)):
+                continue
+            raw = np.frombuffer(b"".join(digests), "<i4").reshape(-1, 4)
+            th = np.full(n, xxhash.xxh32_intdigest((text or "").encode("utf-8", "surrogatepass"))).astype(np.uint32).view(np.int32)
+            place = np.arange(n) << 5 | np.array(words)
+            span = np.array(starts) << 32 | np.array(ends)
+            columns = (np.ascontiguousarray(raw[:, :2]).view("<i8").ravel(), raw[:, 2], None, th, place, span)
+            parts.append([pa.array([doc] * n, t) if c is None else pa.array(c).cast(t) for c, t in zip(columns, types)])
+            held += n
+            if held > 50_000:
+                yield batch()
+                parts, held = [], 0
+    if parts:
+        yield batch()
 
 
 def copies(docs: DataFrame, within: bool = False) -> DataFrame:
-    """(doc_id, th, k, start, end, words, first_id): every chunk that an earlier one equals; those
-    whose first occurrence is in the same document only if ``within``."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_chunk_rows, "doc_id long, th long, d binary, k int, start int, end int, words int")
-    place = F.struct("doc_id", "th", "k")
-    first = rows.groupBy("d").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("d", "first")
-    other = place != F.col("first") if within else ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")))
-    return rows.join(first, "d").filter(other).select("doc_id", "th", "k", "start", "end", "words", F.col("first.doc_id").alias("first_id"))
+    """(doc_id, th, k, words, start, end, first_id): every chunk that an earlier document holds, and,
+    if ``within``, every chunk that its own document holds earlier."""
+    rows = text_rows(docs).mapInArrow(_chunk_rows, CHUNK)
+    none = F.lit(-(1 << 63))
+    rows = rows.withColumn("doc_id", F.coalesce("doc_id", none))
+    if within:
+        first = rows.groupBy("d", "e").agg(F.min(F.struct("doc_id", "th", "place")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("d", "e", "f", F.col("f.doc_id").alias("first"))
+        found = rows.join(first, ["d", "e"]).filter(F.struct("doc_id", "th", "place") != F.col("f"))
+    else:
+        first = rows.groupBy("d", "e").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last").select("d", "e", "first")
+        found = rows.join(first, ["d", "e"]).filter("doc_id <> first")
+    return found.select(
+        F.nullif("doc_id", none).alias("doc_id"), "th", F.shiftright("place", 5).alias("k"), F.expr("place & 31").alias("words"),
+        F.shiftright("span", 32).cast("int").alias("start"), F.expr("cast(span & 4294967295L as int)").alias("end"), F.nullif("first", none).alias("first_id"))
 
 
 def duplicate_spans(docs: DataFrame, least_words: int = LEAST_WORDS, within: bool = False) -> DataFrame:

@@ -58,7 +58,7 @@ def brute(rows):
     for d, (digests, starts, ends, words) in own.items():
         runs, last = [], None
         for k, x in enumerate(digests):
-            if min(where[x])[0] != d:
+            if min(where[x])[0] < d:
                 if last == k - 1:
                     runs[-1][1:] = [ends[k], runs[-1][2] + words[k]]
                 else:
