@@ -2,10 +2,12 @@
 
 A gear rolling hash runs over the words of a text, joined by single spaces and lower-cased (A-Z); a
 chunk ends at a word whose last byte's hash has its top bits clear, within bounds in words.  The hash
-sees the last 16 bytes only, so chunks resynchronise soon after an insertion.  Chunks are
-deduplicated by a 96-bit digest: of equal chunks those of the smallest id stay, the others are
-copies.  Neighbouring copies are joined into spans, and spans of at least ``least_words``
-words are reported, in code points of the original text.
+sees the last 16 bytes only, so chunks resynchronise soon after an insertion.  What is compared are
+runs of neighbouring chunks that hold ``least_words`` words or a chunk's length more, by a 96-bit
+digest of the run's text: of equal runs those of the smallest id stay, the others are copies.  So each
+copy stands, as it is, in one earlier document; short phrases of unrelated documents make none.
+Copies that overlap are joined into a span, in code points of the original text.  Of a passage that one
+earlier document holds all chunks are in one span; a span may also join overlapping copies of several.
 
 Only thin rows are shuffled.  Counting is partially aggregated, the join back is by digest with the
 rows on the side that Spark may split, and spans are made for each document from its own chunks.
@@ -46,12 +48,13 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunks(text: str | None) -> tuple[list[bytes], list[int], list[int], list[int]]:
-    """(digests, starts, ends in code points, words) of a text's chunks, in order."""
+def _divided(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """The words in one line, and of each chunk, in order: its first byte there, the byte after its last,
+    its start and end in code points of the text, and its words."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     spans = [m.span() for m in WORD_BYTES.finditer(raw)]
     if not spans:
-        return [], [], [], []
+        return None
     at = np.array(spans, np.int64)
     low = raw.lower()
     line = b" ".join([low[a:b] for a, b in spans])
@@ -70,20 +73,46 @@ def chunks(text: str | None) -> tuple[list[bytes], list[int], list[int], list[in
     first = np.array([0, *ends[:-1]], np.int64)
     final = np.array(ends, np.int64) - 1
     byte_a = np.where(first > 0, last[first - 1] + 2, 0)
-    digest = xxhash.xxh3_128_digest
-    out = [digest(line[a:b]) for a, b in zip(byte_a.tolist(), (last[final] + 1).tolist())]
     points = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
     starts, stops = points[at[first, 0]] - 1, points[at[final, 1] - 1]
-    return out, starts.tolist(), stops.tolist(), (final - first + 1).tolist()
-
+    return line, byte_a, last[final] + 1, starts, stops, final - first + 1
 
-CHUNK = "d long, e int, doc_id long, th int, place int, span long"
 
-
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fixed-width rows: digest (d, e), document, hash of its text, place and words, start and end."""
+def chunks(text: str | None) -> tuple[list[bytes], list[int], list[int], list[int]]:
+    """(digests, starts, ends in code points, words) of a text's chunks, in order."""
+    if (found := _divided(text)) is None:
+        return [], [], [], []
+    line, a, b, starts, ends, words = found
+    return [xxhash.xxh3_128_digest(line[i:j]) for i, j in zip(a.tolist(), b.tolist())], starts.tolist(), ends.tolist(), words.tolist()
+
+
+def runs(text: str | None, least_words: int = LEAST_WORDS) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(digests, starts, ends in code points, words before, words) of the runs of chunks to compare: from
+    each chunk, and up to each chunk, the fewest that hold ``least_words``, and two neighbours that
+    both do.  In any passage of ``least_words`` or more these cover all chunks, each overlapping the next."""
+    none = np.zeros(0, np.int64)
+    if (found := _divided(text)) is None:
+        return [], none, none, none, none
+    line, a, b, starts, ends, words = found
+    n, before = len(words), np.concatenate([[0], np.cumsum(words)])
+    every = np.arange(n)
+    until = np.searchsorted(before, before[:-1] + least_words) - 1
+    since = np.searchsorted(before, before[1:] - least_words, "right") - 1
+    back = np.flatnonzero((since >= 0) & (until[since] < every))
+    pair = np.flatnonzero((words[:-1] >= least_words) & (words[1:] >= least_words))
+    whole = np.flatnonzero(until < n)
+    i, j = np.concatenate([whole, since[back], pair]), np.concatenate([until[whole], back, pair + 1])
+    digests = [xxhash.xxh3_128_digest(line[x:y]) for x, y in zip(a[i].tolist(), b[j].tolist())]
+    return digests, starts[i], ends[j], before[i], before[j + 1] - before[i]
+
+
+RUN = "d long, e int, doc_id long, th int, place long, span long"
+
+
+def _run_rows(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.RecordBatch]:
+    """Fixed-width rows: digest (d, e), document, hash of its text, words before and in it, start and end."""
     names = ["d", "e", "doc_id", "th", "place", "span"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
     parts: list[list[pa.Array]] = []
     held = 0
 
@@ -92,14 +121,12 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in small(batches):
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            digests, starts, ends, words = chunks(text)
+            digests, starts, ends, before, words = runs(text, least_words)
             if not (n := len(digests)):
                 continue
             raw = np.frombuffer(b"".join(digests), "<i4").reshape(-1, 4)
             th = np.full(n, xxhash.xxh32_intdigest((text or "").encode("utf-8", "surrogatepass"))).astype(np.uint32).view(np.int32)
-            place = np.arange(n) << 5 | np.array(words)
-            span = np.array(starts) << 32 | np.array(ends)
-            columns = (np.ascontiguousarray(raw[:, :2]).view("<i8").ravel(), raw[:, 2], None, th, place, span)
+            columns = (np.ascontiguousarray(raw[:, :2]).view("<i8").ravel(), raw[:, 2], None, th, before << 32 | words, starts << 32 | ends)
             parts.append([pa.array([doc] * n, t) if c is None else pa.array(c).cast(t) for c, t in zip(columns, types)])
             held += n
             if held > 50_000:
@@ -109,10 +136,10 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
-def copies(docs: DataFrame, within: bool = False) -> DataFrame:
-    """(doc_id, th, k, words, start, end, first_id): every chunk that an earlier document holds, and,
-    if ``within``, every chunk that its own document holds earlier."""
-    rows = text_rows(docs).mapInArrow(_chunk_rows, CHUNK)
+def copies(docs: DataFrame, within: bool = False, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(doc_id, th, before, words, start, end, first_id): every run of chunks that an earlier document
+    holds, and, if ``within``, every run that its own document holds earlier."""
+    rows = text_rows(docs).mapInArrow(lambda batches: _run_rows(batches, least_words), RUN)
     none = F.lit(-(1 << 63))
     rows = rows.withColumn("doc_id", F.coalesce("doc_id", none))
     if within:
@@ -121,19 +148,22 @@ def copies(docs: DataFrame, within: bool = False) -> DataFrame:
     else:
         first = rows.groupBy("d", "e").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last").select("d", "e", "first")
         found = rows.join(first, ["d", "e"]).filter("doc_id <> first")
+    low = "cast({0} & 4294967295L as int)"
     return found.select(
-        F.nullif("doc_id", none).alias("doc_id"), "th", F.shiftright("place", 5).alias("k"), F.expr("place & 31").alias("words"),
-        F.shiftright("span", 32).cast("int").alias("start"), F.expr("cast(span & 4294967295L as int)").alias("end"), F.nullif("first", none).alias("first_id"))
+        F.nullif("doc_id", none).alias("doc_id"), "th", F.shiftright("place", 32).cast("int").alias("before"), F.expr(low.format("place")).alias("words"),
+        F.shiftright("span", 32).cast("int").alias("start"), F.expr(low.format("span")).alias("end"), F.nullif("first", none).alias("first_id"))
 
 
 def duplicate_spans(docs: DataFrame, least_words: int = LEAST_WORDS, within: bool = False) -> DataFrame:
     """(doc_id, th, spans, first_ids) for documents with copied spans; th is a hash of the text,
     first_ids are the documents that hold the first occurrences."""
-    own = copies(docs, within).repartition("doc_id", "th").dropDuplicates(["doc_id", "th", "k"])
-    run = F.col("k") - F.row_number().over(Window.partitionBy("doc_id", "th").orderBy("k"))
-    runs = own.withColumn("run", run).groupBy("doc_id", "th", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.collect_set("first_id").alias("ids")).filter(F.col("words") >= least_words)
-    return runs.groupBy("doc_id", "th").agg(
+    own = copies(docs, within, least_words).withColumn("after", F.col("before") + F.col("words")).repartition("doc_id", "th")
+    order = Window.partitionBy("doc_id", "th").orderBy("before", "after")
+    apart = F.col("before") >= F.coalesce(F.max("after").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = own.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = own.groupBy("doc_id", "th", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("after") - F.min("before")).cast("long").alias("words"), F.collect_set("first_id").alias("ids"))
+    return joined.groupBy("doc_id", "th").agg(
         F.sort_array(F.collect_list(F.struct("start", "end", "words"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("first_ids"))
 
 

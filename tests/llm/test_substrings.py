@@ -90,3 +90,37 @@ def test_within_and_repeats(spark):
     (row,) = substrings.duplicate_spans(docs(spark, rows), within=True).collect()
     assert row["first_ids"] == [1] and Counter(s["words"] >= 50 for s in row["spans"])[True] == 1
     assert substrings.duplicate_spans(docs(spark, [])).count() == 0
+
+
+def test_short_phrases_of_unrelated_documents_make_no_span(spark):
+    rng = random.Random(5)
+    for _ in range(10_000):
+        text = prose(rng, 40)
+        digests, starts, ends, words = substrings.chunks(text)
+        pieces = [text[a:b] for a, b in zip(starts, ends)]
+        if max(words) < substrings.LEAST_WORDS and len(pieces) > 2 and all(substrings.chunks(p)[0] == [d] for p, d in zip(pieces, digests)):
+            break
+    rows = [*enumerate(pieces), (100, text)]
+    assert substrings.duplicate_spans(docs(spark, rows)).count() == 0, "each chunk is in another document"
+    (row,) = substrings.duplicate_spans(docs(spark, [*rows, (50, text)])).filter("doc_id = 100").collect()
+    assert [tuple(s) for s in row["spans"]] == [(0, len(text), 40)] and row["first_ids"] == [50], "one earlier document holds all, though not the least of each chunk"
+
+
+@pytest.mark.parametrize("least", [1, 7, 12, 40])
+def test_runs_cover_and_link_any_passage(least):
+    rng = random.Random(6)
+    text = prose(rng, 500)
+    words = substrings.chunks(text)[3]
+    at = np.concatenate([[0], np.cumsum(words)])
+    _, starts, ends, before, held = substrings.runs(text, least)
+    assert len(starts) == len(set(zip(before.tolist(), held.tolist()))) and held.min() >= least
+    for i in range(len(words)):
+        for j in range(i, min(len(words), i + 14)):
+            a, b = at[i], at[j + 1]
+            if b - a >= least:
+                inside = sorted((x, x + n) for x, n in zip(before.tolist(), held.tolist()) if a <= x and x + n <= b)
+                end = inside[0][1]
+                for x, y in inside:
+                    assert x < end
+                    end = max(end, y)
+                assert (inside[0][0], end) == (a, b)
