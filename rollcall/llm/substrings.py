@@ -4,7 +4,7 @@ A gear rolling hash runs over the words of a text, joined by single spaces and l
 chunk ends at a word whose last byte's hash has its top bits clear, within bounds in words.  The hash
 sees the last 16 bytes only, so chunks resynchronise soon after an insertion.  What is compared are
 runs of neighbouring chunks that hold ``least_words`` words or a chunk's length more, by a 96-bit
-digest of the run's text: of equal runs those of the smallest id stay, the others are copies.  So each
+digest of the run's text: of equal runs those of the first document, by id, stay, the others are copies.  So each
 copy stands, as it is, in one earlier document; short phrases of unrelated documents make none.
 Copies that overlap are joined into a span, in code points of the original text.  Of a passage that one
 earlier document holds all chunks are in one span; a span may also join overlapping copies of several.
@@ -13,8 +13,8 @@ Only thin rows are shuffled.  Counting is partially aggregated, the join back is
 rows on the side that Spark may split, and spans are made for each document from its own chunks.
 
 Edge cases: null and empty texts have no chunk; text that has fewer words than a chunk is one chunk;
-rows that repeat an id are one document, whose texts are told apart by a hash; a null id is the
-smallest; an empty table gives an empty result; extra columns are ignored.
+rows that repeat an id are told apart by a hash of the text, the order among them, and are one document
+if that is equal too; a null id is the smallest; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -140,18 +140,13 @@ def copies(docs: DataFrame, within: bool = False, least_words: int = LEAST_WORDS
     """(doc_id, th, before, words, start, end, first_id): every run of chunks that an earlier document
     holds, and, if ``within``, every run that its own document holds earlier."""
     rows = text_rows(docs).mapInArrow(lambda batches: _run_rows(batches, least_words), RUN)
-    none = F.lit(-(1 << 63))
-    rows = rows.withColumn("doc_id", F.coalesce("doc_id", none))
-    if within:
-        first = rows.groupBy("d", "e").agg(F.min(F.struct("doc_id", "th", "place")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("d", "e", "f", F.col("f.doc_id").alias("first"))
-        found = rows.join(first, ["d", "e"]).filter(F.struct("doc_id", "th", "place") != F.col("f"))
-    else:
-        first = rows.groupBy("d", "e").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last").select("d", "e", "first")
-        found = rows.join(first, ["d", "e"]).filter("doc_id <> first")
+    own = F.struct("doc_id", "th", "place") if within else F.struct("doc_id", "th")
+    first = rows.groupBy("d", "e").agg(F.min(own).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    found = rows.join(first, ["d", "e"]).filter(own != F.col("first"))
     low = "cast({0} & 4294967295L as int)"
     return found.select(
-        F.nullif("doc_id", none).alias("doc_id"), "th", F.shiftright("place", 32).cast("int").alias("before"), F.expr(low.format("place")).alias("words"),
-        F.shiftright("span", 32).cast("int").alias("start"), F.expr(low.format("span")).alias("end"), F.nullif("first", none).alias("first_id"))
+        "doc_id", "th", F.shiftright("place", 32).cast("int").alias("before"), F.expr(low.format("place")).alias("words"),
+        F.shiftright("span", 32).cast("int").alias("start"), F.expr(low.format("span")).alias("end"), F.col("first.doc_id").alias("first_id"))
 
 
 def duplicate_spans(docs: DataFrame, least_words: int = LEAST_WORDS, within: bool = False) -> DataFrame:

@@ -124,3 +124,14 @@ def test_runs_cover_and_link_any_passage(least):
                     assert x < end
                     end = max(end, y)
                 assert (inside[0][0], end) == (a, b)
+
+
+@pytest.mark.parametrize("one", [7, None, -(1 << 63)])
+def test_texts_that_repeat_an_id_are_told_apart(spark, one):
+    rng = random.Random(7)
+    passage = prose(rng, 60)
+    rows = [(one, f"{prose(rng, 30)} {passage} {prose(rng, 30)}") for _ in range(3)]
+    got = substrings.duplicate_spans(docs(spark, rows + rows[:1])).collect()
+    assert len(got) == 2 and all(r["doc_id"] == one and r["first_ids"] == [x for x in (one,) if x is not None] and max(s["words"] for s in r["spans"]) >= 40 for r in got)
+    got = substrings.duplicate_spans(docs(spark, [rows[0], (-(1 << 63) if one is None else None, rows[1][1])])).collect()
+    assert [r["doc_id"] for r in got] == [-(1 << 63) if one is None else one], "a null id comes before any other"
