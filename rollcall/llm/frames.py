@@ -28,6 +28,12 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of our own from the shared one."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder and read back: lost executors cost no recomputation."""
     checkpoint_folder(df.sparkSession)

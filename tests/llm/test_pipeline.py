@@ -30,7 +30,7 @@ def test_stages_hand_on_documents(spark):
     assert {r["doc_id"] for r in kept["mixing"].collect()} == set(want)
     own = bpe.WordBpe(bpe.default_path())
     texts = [(r["doc_id"], r["text"]) for r in kept["mixing"].collect()]
-    encoded = sorted((d, hashlib.sha256(ids).hexdigest()) for (d, _), (ids, _) in zip(texts, own.encoded([t for _, t in texts])))
+    encoded = sorted((d, hashlib.sha256(ids).hexdigest()) for (d, _), ids in zip(texts, own.encoded([t for _, t in texts])))
     assert encoded == sorted((r["doc_id"], r["ids_sha256"]) for r in kept["bpe"].collect())
 
 
