@@ -58,12 +58,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCH_ROWS = 1_000
 
 
-def text_rows(docs: DataFrame) -> DataFrame:
-    """doc_id and text for a Python worker, in batches of few rows unless the session asks for fewer."""
+def text_rows(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, text and more for a Python worker, in batches of few rows unless the session asks for fewer."""
     conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= BATCH_ROWS:
         conf.set(name, str(BATCH_ROWS))
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more)
 
 
 def text_of(column: str = "text") -> Column:
