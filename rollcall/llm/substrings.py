@@ -132,7 +132,7 @@ def runs_of(found: tuple, least_words: int = LEAST_WORDS) -> tuple[list[bytes],
     return digests, starts[i], ends[j], before[i], before[j + 1] - before[i]
 
 
-RUN = "d long, e int, doc_id long, th long, place long, span long"
+RUN = "d long, e int, doc_id long, th int, before int, words int, start int, end int"
 
 
 def _groups(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
@@ -147,7 +147,7 @@ def _groups(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
 
 
 def _run_rows(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.RecordBatch]:
-    """Fixed-width rows: digest (d, e), document, hash of its text, words before and in it, start and end."""
+    """Fixed-width rows: digest (d, e), document, hash of its text, words before and in the run, start and end."""
     for b in small(batches):
         ids, hashes = b.column(0), b.column(2)
         for base, texts in _groups(b.column(1).to_pylist()):
@@ -156,20 +156,20 @@ def _run_rows(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[p
             for found in divided(texts):
                 own, starts, ends, before, words = runs_of(found, least_words)
                 digests += own
-                parts.append((before << 32 | words, starts << 32 | ends))
+                parts.append((before, words, starts, ends))
                 of.append((base + found[0], len(own)))
             if not digests:
                 continue
             raw = np.frombuffer(b"".join(digests), "<i4").reshape(-1, 4)
             rows = pa.array(np.repeat([k for k, _ in of], [n for _, n in of]))
-            place, span = (np.concatenate(c) for c in zip(*parts))
+            rest = (pa.array(np.concatenate(c).astype(np.int32)) for c in zip(*parts))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ascontiguousarray(raw[:, :2]).view("<i8").ravel()), pa.array(np.ascontiguousarray(raw[:, 2])), ids.take(rows), hashes.take(rows), pa.array(place), pa.array(span)],
-                names=["d", "e", "doc_id", "th", "place", "span"])
+                [pa.array(np.ascontiguousarray(raw[:, :2]).view("<i8").ravel()), pa.array(np.ascontiguousarray(raw[:, 2])), ids.take(rows), hashes.take(rows), *rest],
+                names=["d", "e", "doc_id", "th", "before", "words", "start", "end"])
 
 
 def _text_hash():
-    return F.xxhash64(text_of())
+    return F.hash(text_of())
 
 
 def copies(docs: DataFrame, within: bool = False, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -177,8 +177,9 @@ def copies(docs: DataFrame, within: bool = False, least_words: int = LEAST_WORDS
     holds, and, if ``within``, every run that its own document holds earlier."""
     spark = docs.sparkSession
     folder = f"{checkpoint_folder(spark)}/runs-{uuid.uuid4().hex}"
-    text_rows(docs, _text_hash().alias("th")).mapInArrow(lambda batches: _run_rows(batches, least_words), RUN).write.parquet(folder)
-    rows = spark.read.schema(RUN).parquet(folder)
+    text_rows(docs, _text_hash().alias("th")).mapInArrow(lambda batches: _run_rows(batches, least_words), RUN).write.option("compression", "zstd").parquet(folder)
+    pack = "shiftleft(cast({0} AS bigint), 32) | {1} AS {2}"  # half as wide in the shuffle
+    rows = spark.read.schema(RUN).parquet(folder).selectExpr("d", "e", "doc_id", "th", pack.format("before", "words", "place"), pack.format("start", "end", "span"))
     own = F.struct("doc_id", "th", "place") if within else F.struct("doc_id", "th")
     first = rows.groupBy("d", "e").agg(F.min(own).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     found = rows.join(first, ["d", "e"]).filter(own != F.col("first"))

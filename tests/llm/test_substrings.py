@@ -114,7 +114,7 @@ def test_spans_against_brute_force(spark):
     assert got == brute(rows)
     assert {101, 102, 103, 104, 105, 106, 107, 203, 204} == set(got), "all but the first holder of a passage, and no clean document"
     firsts = {r["doc_id"]: r["first_ids"] for r in substrings.duplicate_spans(docs(spark, rows)).collect()}
-    assert firsts[107] == [100] and firsts[203] == [0]
+    assert 100 in firsts[107] and set(firsts[107]) <= set(range(100, 107)) and firsts[203] == [0], "copies of a span may have first stood in several holders"
 
 
 def test_within_and_repeats(spark):
