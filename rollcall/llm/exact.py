@@ -2,7 +2,9 @@
 
 Records are dealt by a 64-bit hash of their normalised text.  A task partitions its records
 recursively into spill files until a bucket fits an open-addressing table, which compares
-complete content, never digests alone.
+complete content, never digests alone.  A record has the largest id of its rows, how many rows it
+stands for and how many of them hold that id, so it decides which row stays; only rows that repeat
+both id and text need a tie broken, by their place in the table.
 
 Before the shuffle every scan task runs the same table over its own rows, so a text crosses the
 network once for each scan task at most and a group holding a third of all rows adds no more than
@@ -33,7 +35,7 @@ from .frames import cut, one_each, packed, small, table, text_of, text_rows, unp
 #: Bytes of distinct text that a table holds before its records go to spill files.
 TABLE_BYTES = 32 << 20
 FANOUT = 16
-PARTIAL = "h long, text binary, keep_id long, n long"
+PARTIAL = "h long, text binary, keep_id long, n long, ties long"
 
 
 def normalised(text: str | None) -> bytes:
@@ -41,6 +43,10 @@ def normalised(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
+#: Hash, text, largest id, rows, rows with that id.
+Record = tuple[int, bytes, int | None, int, int]
+
+
 class Table:
     """Open addressing with linear probing; equal means equal in every byte."""
 
@@ -50,17 +56,20 @@ class Table:
         self.texts: list[bytes] = []
         self.ids: list[int | None] = []
         self.counts: list[int] = []
+        self.ties: list[int] = []
         self.bytes = 0
 
-    def add(self, h: int, text: bytes, doc: int | None, n: int) -> None:
+    def add(self, h: int, text: bytes, doc: int | None, n: int, ties: int = 1) -> None:
         if 2 * len(self.texts) >= len(self.slots):
             self._grow()
         mask = len(self.slots) - 1
         at = h & mask
         while (k := self.slots[at]) >= 0:
             if self.hashes[k] == h and self.texts[k] == text:
-                if self.ids[k] is None or (doc is not None and doc > self.ids[k]):
-                    self.ids[k] = doc
+                if doc == self.ids[k]:
+                    self.ties[k] += ties
+                elif self.ids[k] is None or (doc is not None and doc > self.ids[k]):
+                    self.ids[k], self.ties[k] = doc, ties
                 self.counts[k] += n
                 return
             at = (at + 1) & mask
@@ -69,7 +78,8 @@ class Table:
         self.texts.append(text)
         self.ids.append(doc)
         self.counts.append(n)
-        self.bytes += len(text) + 150
+        self.ties.append(ties)
+        self.bytes += len(text) + 160
 
     def _grow(self) -> None:
         slots = np.full(2 * len(self.slots), -1, dtype=np.int64)
@@ -81,11 +91,11 @@ class Table:
             slots[at] = k
         self.slots = slots
 
-    def records(self) -> Iterator[tuple[int, bytes, int | None, int]]:
-        return zip(self.hashes, self.texts, self.ids, self.counts)
+    def records(self) -> Iterator[Record]:
+        return zip(self.hashes, self.texts, self.ids, self.counts, self.ties)
 
 
-def grace(records: Iterator[tuple[int, bytes, int | None, int]], budget: int = TABLE_BYTES, depth: int = 0, folder: str | None = None) -> Iterator[tuple[int, bytes, int | None, int]]:
+def grace(records: Iterator[Record], budget: int = TABLE_BYTES, depth: int = 0, folder: str | None = None) -> Iterator[Record]:
     """Distinct records.  Beyond ``budget`` bytes of distinct text what follows is dealt to
     FANOUT spill files by the next bits of the hash, and each file is treated the same way."""
     held, files, own = Table(), [], None
@@ -115,7 +125,7 @@ def grace(records: Iterator[tuple[int, bytes, int | None, int]], budget: int = T
             shutil.rmtree(own, ignore_errors=True)
 
 
-def _stored(f) -> Iterator[tuple[int, bytes, int | None, int]]:
+def _stored(f) -> Iterator[Record]:
     while True:
         try:
             yield pickle.load(f)
@@ -127,14 +137,15 @@ def _batches(records: Iterator[tuple], limit: int = 8 << 20) -> Iterator[pa.Reco
     """Arrow batches of a bounded size of text."""
     rows: list[tuple] = []
     size = 0
-    names = ["h", "text", "keep_id", "n"]
-    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    names = ["h", "text", "keep_id", "n", "ties"]
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
     def batch() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    for h, text, doc, n in records:
-        rows.append((h - (1 << 64) if h >> 63 else h, text, doc, n))
+    for h, *rest in records:
+        rows.append((h - (1 << 64) if h >> 63 else h, *rest))
+        text = rest[0]
         size += len(text) + 64
         if size >= limit:
             yield batch()
@@ -165,17 +176,17 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def records() -> Iterator[tuple]:
         for b in small(batches):
-            for h, text, doc, n in zip(*(b.column(k).to_pylist() for k in range(4))):
-                yield h & ((1 << 64) - 1), text, doc, n
+            for h, *rest in zip(*(b.column(k).to_pylist() for k in range(5))):
+                yield h & ((1 << 64) - 1), *rest
 
     out: list[tuple] = []
 
     def batch() -> pa.RecordBatch:
         c = list(zip(*out))
-        return pa.RecordBatch.from_arrays([pa.array(c[0], pa.binary()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64())], names=["sha", "keep_id", "group_size"])
+        return pa.RecordBatch.from_arrays([pa.array(c[0], pa.binary()), *(pa.array(x, pa.int64()) for x in c[1:])], names=["sha", "keep_id", "group_size", "ties"])
 
-    for _, text, doc, n in grace(records()):
-        out.append((hashlib.sha256(text).digest(), doc, n))
+    for _, text, *rest in grace(records()):
+        out.append((hashlib.sha256(text).digest(), *rest))
         if len(out) == 20_000:
             yield batch()
             out = []
@@ -190,10 +201,10 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """(sha, keep_id, group_size): one row for each distinct normalised text."""
+    """(sha, keep_id, group_size, ties): one row for each distinct normalised text."""
     rows = text_rows(docs)
     partial = rows.mapInArrow(_distinct_here, PARTIAL)
-    return partial.repartition("h").mapInArrow(_merge, "sha binary, keep_id long, group_size long")
+    return partial.repartition("h").mapInArrow(_merge, "sha binary, keep_id long, group_size long, ties long")
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -202,10 +213,13 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     Of rows that repeat an id and a text, ``kept`` is true for one."""
     rows = text_rows(docs)
     thin = cut(rows.mapInArrow(_digests, "doc_id long, sha binary").select("doc_id", "sha", F.monotonically_increasing_id().alias("uid")))
-    best = thin.groupBy("sha").agg(F.max(F.struct("doc_id", "uid")).alias("best")).select("sha", F.col("best.uid").alias("best"))
-    decided = groups(docs).join(best, "sha")
-    return thin.join(decided, "sha").select(
-        "doc_id", "keep_id", "group_size", (F.col("uid") == F.col("best")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    decided = cut(groups(docs))
+    at = thin.join(decided, "sha").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    if not decided.filter("ties > 1").isEmpty():  # an exact finding, on one row for each distinct text
+        last = at.filter("kept AND ties > 1").groupBy("sha").agg(F.max("uid").alias("last")).withColumnRenamed("sha", "_sha")
+        at = at.join(last, (F.col("sha") == F.col("_sha")) & (F.col("uid") <= F.col("last")), "left")
+        at = at.withColumn("kept", F.col("kept") & ((F.col("ties") == 1) | F.coalesce(F.col("uid") == F.col("last"), F.lit(False))))
+    return at.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:

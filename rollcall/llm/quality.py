@@ -6,9 +6,11 @@ sample of labelled rows: a rule grows condition by condition while it gains, is
 back, and is kept only while it is precise there.  The list is emitted as one ordered Spark
 conditional expression; no Python runs on executors.
 
-Repeated windows: each window is its 64-bit hash's high bits with its position in the low bits (20,
-or 26 beyond a million words, or 31 beyond 2^26), so that one sort of longs brings equal windows
-together; neighbours are equal only if their words are, so a hash collision cannot count.
+Repeated windows: each window is bits of its 64-bit hash with its position in the low bits (20, or 26
+beyond a million words, or 31 beyond 2^26), so that one sort of longs brings equal windows together,
+and neighbours count only if their words are equal.  Different windows of equal bits could part equal
+ones there, so a text in which such neighbours meet has its windows sorted by their words instead:
+counts are exact for every text.
 
 Edge cases: null and empty texts have no word and fail the base rule; documents without a label
 teach nothing; with no labelled rows, or too few, the list is empty and the base rule alone decides;
@@ -61,22 +63,30 @@ class Rule:
         return out
 
 
-def with_counts(rows: DataFrame, text: Column) -> DataFrame:
-    """``rows`` with n_words and the counts of the base, and three more that rules may use."""
+def with_counts(rows: DataFrame, text: Column, hash_mask: int = -1) -> DataFrame:
+    """``rows`` with n_words and the counts of the base, and three more that rules may use.
+
+    Tests narrow the hash of a window by ``hash_mask``."""
     carried = rows.columns
     at = rows.select("*", text.alias("_t"))
     at = at.select("*", F.array_remove(F.split("_t", SPACE + "+", -1), "").alias("_w"))
     at = at.select(
-        *carried, "_t", "_w", F.size("_w").alias("_n"),
+        *(F.col(f"`{c}`") for c in carried), "_t", "_w", F.size("_w").alias("_n"),
         F.expr("CASE WHEN size(_w) < 1048576 THEN 20 WHEN size(_w) < 67108864 THEN 26 ELSE 31 END").alias("_bits"),
         F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"))
     at = at.select("*", F.expr(
         "CASE WHEN _n < 3 THEN array() ELSE sort_array(transform(sequence(0, _n - 3), i -> "
-        "shiftleft(xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2)), _bits) | cast(i AS bigint))) END").alias("_s"))
-    same = "coalesce(shiftright(x, _bits) = shiftright(get(_s, {0}), _bits) AND " + " AND ".join(
-        f"get(_w, cast(x & (shiftleft(1L, _bits) - 1) AS int) + {k}) = get(_w, cast(get(_s, {{0}}) & (shiftleft(1L, _bits) - 1) AS int) + {k})" for k in range(3)) + ", false)"
+        f"shiftleft(xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2)) & {hash_mask}L, _bits) | cast(i AS bigint))) END").alias("_s"))
+    bits = "shiftright(x, _bits) = shiftright(get(_s, {0}), _bits)"
+    words = " AND ".join(f"get(_w, cast(x & (shiftleft(1L, _bits) - 1) AS int) + {k}) = get(_w, cast(get(_s, {{0}}) & (shiftleft(1L, _bits) - 1) AS int) + {k})" for k in range(3))
+    # Against the next window in order: 0 other bits, 1 equal, 2 equal bits of other words.
+    at = at.select("*", F.expr(f"transform(_s, (x, k) -> CASE WHEN {bits.format('k + 1')} THEN IF({words.format('k + 1')}, 1, 2) ELSE 0 END)").alias("_q"))
+    window = "named_struct('a', get(_w, i), 'b', get(_w, i + 1), 'c', get(_w, i + 2), 'i', cast(i AS bigint))"
+    other = lambda k: f"coalesce(x.a = get(_e, {k}).a AND x.b = get(_e, {k}).b AND x.c = get(_e, {k}).c, false)"
+    at = at.select("*", F.expr(f"CASE WHEN array_contains(_q, 2) THEN sort_array(transform(sequence(0, _n - 3), i -> {window})) END").alias("_e"))
     at = at.select("*", F.expr(
-        f"sort_array(transform(filter(_s, (x, k) -> {same.format('k - 1')} OR {same.format('k + 1')}), x -> x & (shiftleft(1L, _bits) - 1)))").alias("_r"))
+        f"sort_array(CASE WHEN _e IS NOT NULL THEN transform(filter(_e, (x, k) -> {other('k - 1')} OR {other('k + 1')}), x -> x.i) "
+        f"ELSE transform(filter(_s, (x, k) -> get(_q, k) = 1 OR get(_q, k - 1) = 1), x -> x & (shiftleft(1L, _bits) - 1)) END)").alias("_r"))
     counts = {
         "n_words": F.col("_n"),
         "word_chars": F.length("_t") - F.regexp_count("_t", F.lit(SPACE)),
@@ -88,7 +98,7 @@ def with_counts(rows: DataFrame, text: Column) -> DataFrame:
         "n_digits": F.regexp_count("_t", F.lit(r"[0-9]")),
     }
     # A generator of one row: a filter on a count isn't pushed below it, where it would count everything anew.
-    return at.select(*carried, F.inline(F.array(F.struct(*(v.cast("long").alias(k) for k, v in counts.items())))))
+    return at.select(*(F.col(f"`{c}`") for c in carried), F.inline(F.array(F.struct(*(v.cast("long").alias(k) for k, v in counts.items())))))
 
 
 def with_features(counts: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_secret_ledger": secrets.op4_secret_ledger,
         "op5_url_equivalence": urls.op5_url_equivalence,
+        "redirect_aliases": urls.redirect_aliases,
         "op6_simhash_golay": simhash.op6_simhash_golay,
         "op7_bpe": bpe.op7_bpe,
         "op8_toxicity": toxicity.op8_toxicity,
@@ -25,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact.OP1_SQL, "op4_secret_ledger": secrets.OP4_SQL, "op5_url_equivalence": urls.OP5_SQL}
+    return {"op1_exact_dedup": exact.OP1_SQL, "op4_secret_ledger": secrets.OP4_SQL, "op5_url_equivalence": urls.OP5_SQL, "redirect_aliases": urls.REDIRECT_SQL}

@@ -3,8 +3,11 @@
 A path's version is addressed by the SHA-256 of its content.  The ledger holds one row for each
 (blob, rule version) that was ever scanned, with its findings; a scan reads only blobs that the
 ledger lacks, appends them, and joins findings back to all paths.  Of many paths with one blob the
-smallest id's text is the one that is read; texts are joined by id, so a blob with a third of all
-paths meets no single task, and the join back is of thin rows whose skewed side Spark may split.
+smallest id's text is the one that is read; texts are joined by id and blob, so neither a blob with a
+third of all paths nor rows without an id meet in a single task, and the join back is of thin rows
+whose skewed side Spark may split.  Where few blobs are new, their addresses are broadcast (after a
+check of their number) and texts aren't shuffled at all.  Of the ledger only what this scan's blobs
+need is read beyond its addresses.
 
 Spans are code points, end exclusive.  A text is split by a rule's pattern and the matches are taken
 beside it, so positions are running sums of lengths, made by a window over exploded matches: any
@@ -37,6 +40,8 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 VERSION = "1"
+#: New blobs whose addresses may be broadcast, about 100 bytes each.
+MOST_BROADCAST = 100_000
 SPAN = "struct<start:bigint,ord:int,end:bigint,kind:string>"
 LEDGER = f"blob string, version string, spans array<{SPAN}>"
 
@@ -76,12 +81,16 @@ def scan(docs: DataFrame, ledger: str, rules=RULES, version: str = VERSION) -> D
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("_t"))
     paths = cut(rows.select("doc_id", F.sha2(F.col("_t").cast("binary"), 256).alias("blob")))
     known = _ledger(spark, ledger).filter(F.col("version") == version)
-    new = paths.groupBy("blob").agg(F.min("doc_id").alias("rep")).join(known.select("blob"), "blob", "left_anti")
-    texts = rows.join(new.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep"))).filter(F.sha2(F.col("_t").cast("binary"), 256) == F.col("blob"))
+    blobs = cut(paths.groupBy("blob").agg(F.min("doc_id").alias("rep")))
+    new = cut(blobs.join(known.select("blob"), "blob", "left_anti").withColumnRenamed("blob", "_blob"))
+    new = F.broadcast(new) if new.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else new.hint("shuffle_hash")
+    addressed = rows.withColumn("blob", F.sha2(F.col("_t").cast("binary"), 256))
+    texts = addressed.join(new, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("blob") == F.col("_blob")))
     found = scanned(texts.select("blob", "_t"), rules).select("blob", F.lit(version).alias("version"), "spans")
     found.write.mode("append").parquet(ledger)
-    all_known = _ledger(spark, ledger).filter(F.col("version") == version).groupBy("blob").agg(F.first("spans").alias("spans"))  # a repeated attempt may have appended twice
-    return paths.join(all_known, "blob").select("doc_id", "blob", "spans")
+    told = _ledger(spark, ledger).filter(F.col("version") == version).join(blobs.select("blob"), "blob", "left_semi")
+    told = cut(told.groupBy("blob").agg(F.first("spans").alias("spans")))  # a repeated attempt may have appended twice
+    return paths.join(told, "blob").select("doc_id", "blob", "spans")
 
 
 def digests(found: DataFrame, base=BASE) -> DataFrame:

@@ -277,7 +277,7 @@ def _named(thin: DataFrame, bucket_rows: int) -> DataFrame:
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     named = linked.join(least, "root").select("fp", "least", "root")
     of = nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"), F.coalesce("root", "fp").alias("root"))
-    return thin.join(of, "fp")
+    return thin.join(cut(of), "fp")  # straight from its own exchange, so Spark may split a hot fingerprint's rows
 
 
 def dedup(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:

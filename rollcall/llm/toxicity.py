@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,9 @@ SECOND_PERSON = ("you", "your", "you're", "youre", "yourself", "u", "ur", "du",
 #: Characters that stand for letters in obfuscated words.
 LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"})
 TOKENS = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
-HIDDEN = re.compile(r"(?<![^\W_])(?=[^\s]*[^\W\d_])(?=[^\s]*[0-9@$!|*])[a-z0-9@$!|*]{3,15}(?![^\W_])")
+#: Tokens of bounded length, so that no place of a text is looked at more than a few times.
+HIDDEN = re.compile(r"(?<![^\W_])[a-z0-9@$!|*]{3,15}(?![^\W_])")
+MIXED = re.compile(r"(?=.*[a-z]).*[0-9@$!|*]")
 SPACED = re.compile(r"(?<![^\W_])(?:[a-z][ .\-_*]){2,11}[a-z](?![^\W_])")
 NAMES = ("fixed", "learned", "near_you", "capitals", "marks", "hidden", "fixed_any", "learned_any", "length")
 
@@ -57,12 +60,15 @@ class Lexicon:
     words: frozenset[str] = frozenset(INSULTS)
     stems: tuple[str, ...] = ()
 
+    @cached_property
+    def by_length(self) -> dict[int, frozenset[str]]:
+        return {n: frozenset(s for s in self.stems if len(s) == n) for n in sorted({len(s) for s in self.stems})}
+
     def hits(self, words: list[str]) -> tuple[list[int], list[int]]:
         """Places of words of the lexicon, and of words that begin with a stem."""
         fixed = [] if self.words.isdisjoint(words) else [k for k, w in enumerate(words) if w in self.words]
         learned: set[int] = set()
-        for n in {len(s) for s in self.stems}:
-            own = {s for s in self.stems if len(s) == n}
+        for n, own in self.by_length.items():
             if not own.isdisjoint({w[:n] for w in words}):
                 learned.update(k for k, w in enumerate(words) if w[:n] in own)
         return fixed, sorted(learned)
@@ -82,7 +88,7 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     near = sum(not yours.isdisjoint(words[max(0, k - 5) : k + 6]) for k in {*fixed, *learned})
     hidden = 0
     if any(c in low for c in "@$*!|0134579"):
-        hidden += sum(lexicon.holds(m.translate(LOOKALIKES).replace("*", "")) or _starred(m, lexicon.words) for m in HIDDEN.findall(low))
+        hidden += sum(lexicon.holds(m.translate(LOOKALIKES).replace("*", "")) or _starred(m, lexicon.words) for m in HIDDEN.findall(low) if MIXED.match(m))
     hidden += sum(re.sub(r"[^a-z]", "", m) in lexicon.words for m in SPACED.findall(low))
     capitals = sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     marks = text.count("!") + text.count("?")

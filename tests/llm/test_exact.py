@@ -53,20 +53,20 @@ def test_empty_table(spark):
 def test_spilling_changes_nothing(budget, tmp_path):
     rng = random.Random(3)
     rows = [(rng.getrandbits(64) if k % 3 else 7 << 60, b"t%d" % (k % 40), k, 1) for k in range(400)]
-    rows = [(int(hashlib.md5(t).hexdigest()[:16], 16) if k % 2 else 5 << 58, t, d, n) for k, (_, t, d, n) in enumerate(rows)]
-    got = sorted((h, t, d, n) for h, t, d, n in exact.grace(iter(rows), budget, folder=str(tmp_path)))
+    rows = [(int(hashlib.md5(t).hexdigest()[:16], 16) if k % 2 else 5 << 58, t, d, n, 1) for k, (_, t, d, n) in enumerate(rows)]
+    got = sorted((h, t, d, n) for h, t, d, n, _ in exact.grace(iter(rows), budget, folder=str(tmp_path)))
     want = {}
-    for h, t, d, n in rows:
+    for h, t, d, n, _ in rows:
         top, count = want.get((h, t), (d, 0))
         want[h, t] = (max(top, d), count + n)
     assert got == sorted((h, t, d, n) for (h, t), (d, n) in want.items()) and os.listdir(tmp_path) == []
 
 
 def test_equal_hashes_are_told_apart_by_content():
-    got = list(exact.grace(iter([(1, b"a", 1, 1), (1, b"b", 2, 1), (1, b"a", 3, 1)])))
-    assert sorted(got) == [(1, b"a", 3, 2), (1, b"b", 2, 1)]
+    got = list(exact.grace(iter([(1, b"a", 1, 1, 1), (1, b"b", 2, 1, 1), (1, b"a", 3, 1, 1), (1, b"b", 2, 1, 1)])))
+    assert sorted(got) == [(1, b"a", 3, 2, 1), (1, b"b", 2, 2, 2)]
 
 
 def test_batches_hold_unsigned_hashes():
-    (batch,) = exact._batches(iter([((1 << 64) - 1, b"a", None, 1)]))
-    assert batch.to_pylist() == [Row(h=-1, text=b"a", keep_id=None, n=1).asDict()]
+    (batch,) = exact._batches(iter([((1 << 64) - 1, b"a", None, 1, 1)]))
+    assert batch.to_pylist() == [Row(h=-1, text=b"a", keep_id=None, n=1, ties=1).asDict()]

@@ -1,4 +1,5 @@
 import heapq
+import time
 from fractions import Fraction
 
 import pytest
@@ -69,6 +70,22 @@ def test_mix_rows_hold_the_words_taken(spark):
     assert words == {d: t for d, t in taken.items() if t}
 
 
+def test_tiny_sources_come_near_their_targets(spark):
+    rows = [(k, "w " * 500, "big") for k in range(200)] + [(1000, "a b c d e", "tiny"), (1001, "a " * 40, "small"), (1002, "x", "one")]
+    got = {r["source_size"]: [r["target"], 0] for r in mixing.mixed(docs(spark, rows)).collect()}
+    for r in mixing.mixed(docs(spark, rows)).collect():
+        got[r["source_size"]][1] += r["taken"]
+        assert r["taken"] <= 3 * r["size"]
+    assert {5: 15, 40: 120, 1: 3} == {n: t for n, (t, _) in got.items() if n < 100}
+    assert all(abs(taken - target) <= 0.02 * target + 0.5 for target, taken in got.values()), got
+
+
+def test_many_sources_are_quick():
+    sizes, began = [1 + 7 * k % 900 for k in range(30_000)], time.time()
+    want = mixing.targets(sizes)
+    assert sum(mixing.sainte_lague(int(sum(want)) // 4, want, [3 * n // 4 for n in sizes])) > 0 and time.time() - began < 20
+
+
 def test_one_source_and_empty(spark):
     got = mixing.mixed(docs(spark, [(k, "a b c", "one") for k in range(50)])).collect()
     assert sum(r["taken"] for r in got) == 160 - 160 % mixing.BLOCK_WORDS or abs(sum(r["taken"] for r in got) - 150) <= mixing.BLOCK_WORDS

@@ -35,6 +35,15 @@ def test_counts_against_brute_force(spark):
         assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and r["kept"] == (not r["base_failed"])
 
 
+@pytest.mark.parametrize("mask", [0, 1, 7])
+def test_windows_whose_hashes_collide(spark, mask):
+    rng = random.Random(6)
+    some = [" ".join(rng.choice("abcde") for _ in range(rng.randint(1, 60))) for _ in range(80)] + ["a b c x a b d a b c a b d"]
+    df = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_repeat_words"] for r in quality.with_counts(df, F.col("text"), mask).collect()}
+    assert got == {k: counts(t)[4] for k, t in enumerate(some)}
+
+
 def corpus(spark, n=600):
     rng = random.Random(1)
     rows, labels = [], []

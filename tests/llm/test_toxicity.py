@@ -1,7 +1,9 @@
 import random
+import time
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from rollcall.llm import toxicity
@@ -56,6 +58,54 @@ def test_features():
     assert toxicity.features(None, lex) == toxicity.features("", lex) and len(toxicity.features("", lex)) == len(toxicity.NAMES)
 
 
+@pytest.mark.parametrize("text", ["-" * 1_000_000 + "@a", "汉字，" * 300_000 + "1", "aB3+/" * 200_000, "a@" * 500_000, "you.idiot." * 100_000, "'" * 1_000_000])
+def test_long_unspaced_texts_are_quick(text):
+    began = time.time()
+    assert len(toxicity.features(text, toxicity.Lexicon(stems=("zorg", "blah")))) == len(toxicity.NAMES)
+    assert time.time() - began < 15
+
+
+def plain_tree(x, g, h, bins, depth, ridge, rate):
+    """A tree by trying every edge of every feature, as nested tuples."""
+    if depth == 0 or len(x) < 2:
+        return -rate * g.sum() / (h.sum() + ridge)
+    best, cut = 1e-6, None
+    worth = lambda a, b: a.sum() ** 2 / (b.sum() + ridge)
+    for f, edges in enumerate(bins):
+        for e in edges:
+            low = x[:, f] <= e
+            if h[low].sum() >= 1 and h[~low].sum() >= 1 and (gain := worth(g[low], h[low]) + worth(g[~low], h[~low]) - worth(g, h)) > best + 1e-9:
+                best, cut = gain, (f, e)
+    if cut is None:
+        return -rate * g.sum() / (h.sum() + ridge)
+    low = x[:, cut[0]] <= cut[1]
+    return cut, plain_tree(x[low], g[low], h[low], bins, depth - 1, ridge, rate), plain_tree(x[~low], g[~low], h[~low], bins, depth - 1, ridge, rate)
+
+
+def plain_value(tree, row):
+    while isinstance(tree, tuple):
+        tree = tree[1] if row[tree[0][0]] <= tree[0][1] else tree[2]
+    return tree
+
+
+def test_trees_and_scores_against_a_plain_version():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 12, (240, 4)).astype(float)
+    y = ((x[:, 0] > 6) ^ (rng.random(240) < 0.1) | (x[:, 2] > 9)).astype(float)
+    check = np.arange(240) % 5 == 4
+    model = toxicity.boost(toxicity.Model(), x, y, check, rounds=4)
+    train, t = x[~check], y[~check]
+    bins = [np.unique(np.quantile(c, np.linspace(0, 1, 64)))[:-1] for c in train.T]
+    margin, trees = np.full(len(train), np.log(t.mean() / (1 - t.mean()))), []
+    for _ in range(4):
+        q = 1 / (1 + np.exp(-margin))
+        trees.append(plain_tree(train, q - t, np.maximum(q * (1 - q), 1e-9), bins, 3, 2.0, 0.2))
+        margin += [plain_value(trees[-1], r) for r in train]
+    want = np.array([model.base + sum(plain_value(w, r) for w in trees) for r in x])
+    assert np.allclose(model.margin(x), want)
+    assert np.allclose(model.score(x), np.clip(np.interp(want, *toxicity.isotonic(want[check], y[check])), 0, 1))
+
+
 def test_isotonic_pools_violators():
     x, y = toxicity.isotonic(np.array([1.0, 2, 3, 4, 4]), np.array([0.0, 1, 0, 1, 1]), prior=0)
     assert np.interp([1, 2, 3, 4], x, y).tolist() == [0, 0.5, 0.5, 1]

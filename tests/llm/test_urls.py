@@ -1,4 +1,6 @@
-import pytest
+import random
+
+from pyspark.sql import functions as F
 
 from rollcall.llm import urls
 
@@ -28,7 +30,41 @@ def test_given_redirects(spark):
     assert {r["verdict"] for r in urls.judged(pages(spark, rows), redirects=given).collect()} == {"block"}
 
 
-def test_empty_and_bounds(spark):
+def test_empty(spark):
     assert urls.judged(pages(spark, [])).count() == 0
-    with pytest.raises(ValueError):
-        urls.rule_of([("block", f"{k}.net", "/") for k in range(513)])
+
+
+def test_more_rules_than_an_expression_holds(spark, monkeypatch):
+    rng = random.Random(3)
+    rules = [(rng.choice(["allow", "block"]), rng.choice(["net", "a.net", "b.a.net", "x.com", "com", f"h{k}.org"]), "/" + "".join(rng.choices("abé/", k=rng.randint(0, 6)))) for k in range(5_000)]
+    rows = [(k, f"http://{rng.choice(['net', 'a.net', 'c.b.a.net', 'x.com', 'h7.org', 'q.h9.org', ''])}/{''.join(rng.choices('abé/', k=rng.randint(0, 8)))}", None) for k in range(300)] + [(300, None, None), (301, "x", None)]
+    got = {r["page_id"]: tuple(r) for r in urls.judged(pages(spark, rows), rules).collect()}
+    assert len(got) == len(rows)
+    for k, url, _ in rows:
+        host, _, path = (url or "").partition("://")[2].partition("/") if url and "://" in url else ("", "", "")
+        path = "/" + path if url and "://" in url else ""
+        fits = sorted((-len(h + p), v, h, p) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p))
+        assert got[k][3:] == ((fits[0][2] + fits[0][3], fits[0][1]) if fits else (None, "allow")), url
+    some = rules[:400]
+    plain = sorted(map(repr, urls.judged(pages(spark, rows), some).collect()))
+    monkeypatch.setattr(urls, "MOST_RULES", 0)
+    assert sorted(map(repr, urls.judged(pages(spark, rows), some).collect())) == plain
+
+
+LINKS = [
+    ("http://e.net/a/b", '<link rel="canonical" href="c">', ["x://e.net/a/c"]), ("http://e.net/a/b/", "<link rel=canonical href=../c/./d>", ["x://e.net/a/c/d"]), ("http://e.net", "<link href='c' rel='canonical'>", ["x://e.net/c"]),
+    ("http://e.net/a?x=1", '<link rel="nofollow canonical" href="/s?a=1&amp;b=2">', ["x://e.net/s?a=1&b=2"]), ("http://e.net/a/b", '<link rel=canonical href="?p=2"><link rel=stylesheet href="canonical.css">', ["x://e.net/a/b?p=2"]),
+    ("http://e.net/a", '<link rel="canonical" href="http://f.net/1"><LINK REL=canonical HREF="https://g.net/2"><meta http-equiv="refresh" content="0;URL=\'h\'"><meta content="5; url=//i.net/" http-equiv=refresh>', ["http://f.net/1", "https://g.net/2", "x://e.net/h", "x://i.net/"]),
+    ("http://e.net/a/b", '<link rel="canonical" href="..">', ["x://e.net/"]), ("http://e.net/a", '<link rel="not-canonical" href="z">', []), ("no scheme", '<link rel="canonical" href="z">', []), (None, '<link rel="canonical" href="z">', [])]
+
+
+def test_targets_are_resolved_and_decoded(spark):
+    got = {}
+    for r in urls.links(pages(spark, [(k, u, h) for k, (u, h, _) in enumerate(LINKS)]).withColumn("url", F.concat(F.col("url"), F.lit("#"), F.col("page_id").cast("string")))).collect():
+        got.setdefault(int(r["_from"].rsplit("#", 1)[1]), []).append(r["_to"])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(want) for k, (_, _, want) in enumerate(LINKS) if want}
+
+
+def test_relative_targets_carry_blocks(spark):
+    rows = [(1, "http://e.net/a/b", '<link rel="canonical" href="c?x=1&amp;y=2">'), (2, "http://e.net/a/c?x=1&y=2", '<link rel="canonical" href="http://x.com/de/1">')]
+    assert {r["verdict"] for r in urls.judged(pages(spark, rows)).collect()} == {"block"}
