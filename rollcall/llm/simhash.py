@@ -162,24 +162,30 @@ class Forest:
             self.links.append((a, b))
 
 
-def reach(fps: np.ndarray, forest: Forest) -> None:
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints of one word, or of several in the last axis."""
+    bits = np.bitwise_count(a ^ b)
+    return bits if bits.ndim == 1 else bits.sum(axis=1, dtype=np.int64)
+
+
+def reach(fps: np.ndarray, forest: Forest, names: np.ndarray | None = None, most: int = MOST_BITS) -> None:
     """Links a bucket's distinct fingerprints, breadth first over what is not yet reached."""
-    rest = fps
+    rest, names = fps, fps if names is None else names
     while len(rest) > 1:
-        front, rest = [rest[0]], rest[1:]
+        front, rest, names = [(rest[0], names[0])], rest[1:], names[1:]
         while front and len(rest):
-            f = front.pop()
-            hit = np.bitwise_count(rest ^ f) <= MOST_BITS
+            f, name = front.pop()
+            hit = apart(rest, f) <= most
             if hit.any():
-                found = rest[hit]
-                for x in found.tolist():
-                    forest.link(int(f), x)
-                front.extend(found)
-                rest = rest[~hit]
+                for x in names[hit].tolist():
+                    forest.link(int(name), x)
+                front.extend(zip(rest[hit], names[hit]))
+                rest, names = rest[~hit], names[~hit]
 
 
-def _bucket_links(limit: int, key_columns: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows come sorted by key.  Out: links (null key), and the rows of keys beyond ``limit``."""
+def bucket_links(limit: int, key_columns: int, words: int = 0, most: int = MOST_BITS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows come sorted by key: key columns, then a fingerprint that names itself, or a name and a
+    fingerprint of some words.  Out: links of names (null key), and names of keys beyond ``limit``."""
 
     def batch(key, a, b) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["key", "a", "b"])
@@ -189,7 +195,7 @@ def _bucket_links(limit: int, key_columns: int) -> Callable[[Iterator[pa.RecordB
         forest.up, forest.links = {}, []
         return batch([None] * len(ends), ends[:, 0], ends[:, 1])
 
-    def runs(key: list[np.ndarray], fp: np.ndarray, forest: Forest) -> None:
+    def runs(key: list[np.ndarray], name: np.ndarray, fp: np.ndarray, forest: Forest) -> None:
         change = np.zeros(len(fp), bool)
         change[0] = True
         for k in key:
@@ -202,28 +208,31 @@ def _bucket_links(limit: int, key_columns: int) -> Callable[[Iterator[pa.RecordB
                 break
             n = sizes[some] - d
             i = np.repeat(starts[some] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            near = np.bitwise_count(fp[i] ^ fp[i + d]) <= MOST_BITS
-            for a, b in zip(fp[i[near]].tolist(), fp[i[near] + d].tolist()):
+            near = apart(fp[i], fp[i + d]) <= most
+            for a, b in zip(name[i[near]].tolist(), name[i[near] + d].tolist()):
                 if a != b:
                     forest.link(a, b)
         for s, n in zip(starts[sizes > 8].tolist(), sizes[sizes > 8].tolist()):
-            reach(np.unique(fp[s : s + n]), forest)
+            own, first = np.unique(name[s : s + n], return_index=True)
+            reach(fp[s : s + n][first], forest, own, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
-        key, fp = [np.empty(0, np.int64)] * key_columns, np.empty(0, np.uint64)
+        key, name = [np.empty(0, np.int64)] * key_columns, np.empty(0, np.uint64)
+        fp = np.empty((0, words), np.uint64) if words else name
         flowing = None  # the key whose rows go on as they come
         for b in batches:
-            columns = [b.column(k).to_numpy() for k in range(key_columns + 1)]
+            columns = [b.column(k).to_numpy() for k in range(key_columns + 1 + words)]
             if not len(columns[0]):
                 continue
             key = [np.concatenate([x, y]) for x, y in zip(key, columns)]
-            fp = np.concatenate([fp, columns[-1].view(np.uint64)])
+            name = np.concatenate([name, columns[key_columns].view(np.uint64)])
+            fp = np.concatenate([fp, np.stack([c.view(np.uint64) for c in columns[key_columns + 1 :]], axis=1)]) if words else name
             if flowing is not None:
                 n = int(np.searchsorted(key[0], flowing, side="right"))
                 if n:
-                    yield batch(key[0][:n], fp[:n].view(np.int64), fp[:n].view(np.int64))
-                    key, fp = [k[n:] for k in key], fp[n:]
+                    yield batch(key[0][:n], name[:n].view(np.int64), name[:n].view(np.int64))
+                    key, name, fp = [k[n:] for k in key], name[n:], fp[n:]
                 if not len(fp):
                     continue
                 flowing = None
@@ -232,16 +241,16 @@ def _bucket_links(limit: int, key_columns: int) -> Callable[[Iterator[pa.RecordB
                 same &= k == k[-1]
             last = int(len(same) - np.argmin(same[::-1])) if not same.all() else 0
             if last:
-                runs([k[:last] for k in key], fp[:last], forest)
-                key, fp = [k[last:] for k in key], fp[last:]
+                runs([k[:last] for k in key], name[:last], fp[:last], forest)
+                key, name, fp = [k[last:] for k in key], name[last:], fp[last:]
             if len(fp) > limit:
                 flowing = key[0][0]
-                yield batch(key[0], fp.view(np.int64), fp.view(np.int64))
-                key, fp = [k[:0] for k in key], fp[:0]
+                yield batch(key[0], name.view(np.int64), name.view(np.int64))
+                key, name, fp = [k[:0] for k in key], name[:0], fp[:0]
             if len(forest.links) >= 50_000:
                 yield links(forest)
         if len(fp):
-            runs(key, fp, forest)
+            runs(key, name, fp, forest)
         if forest.links:
             yield links(forest)
 
@@ -251,7 +260,7 @@ def _bucket_links(limit: int, key_columns: int) -> Callable[[Iterator[pa.RecordB
 def links(fps: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(a, b): links that connect just what all links of 4 bits or fewer between distinct ``fp`` connect."""
     rows = fps.select("fp").mapInArrow(_key_rows, "key long, fp long").repartition("key").sortWithinPartitions("key")
-    found = cut(rows.mapInArrow(_bucket_links(bucket_rows, 1), "key long, a long, b long"))
+    found = cut(rows.mapInArrow(bucket_links(bucket_rows, 1), "key long, a long, b long"))
     over = found.filter("key IS NOT NULL").select("key", F.col("a").alias("fp"))
     if over.isEmpty():
         return found.filter("key IS NULL").select("a", "b")
@@ -259,7 +268,7 @@ def links(fps: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     own = over.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
     dealt = own.select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")).select(
         "key", F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"), "fp")
-    more = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_bucket_links(1 << 62, 3), "key long, a long, b long")
+    more = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(bucket_links(1 << 62, 3), "key long, a long, b long")
     return found.filter("key IS NULL").select("a", "b").union(cut(more).select("a", "b"))
 
 

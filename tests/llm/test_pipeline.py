@@ -1,7 +1,7 @@
 import hashlib
 
 import corpus_pipeline
-from rollcall.llm import bpe, exact, mixing, quality, simhash
+from rollcall.llm import bpe, exact, mixing, quality, similar
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,8 +24,10 @@ def test_stages_hand_on_documents(spark):
         t = exact.normalised(r["text"])
         best[t] = max(best.get(t, -1), r["doc_id"])
     assert sorted(r["doc_id"] for r in kept["exact_dedup"].collect()) == sorted(best.values())
-    groups = {r["component_id"] for r in simhash.near_groups(kept["exact_dedup"]).collect()}
-    assert sorted(r["doc_id"] for r in kept["simhash_near_dedup"].collect()) == sorted(groups)
+    first_of = {}
+    for r in similar.grouped(kept["exact_dedup"]).collect():
+        first_of[r["root"]] = min(r["doc_id"], first_of.get(r["root"], r["doc_id"]))
+    assert sorted(r["doc_id"] for r in kept["simhash_near_dedup"].collect()) == sorted(first_of.values())
     want = {r["doc_id"]: r["taken"] for r in mixing.mixed(kept["simhash_near_dedup"]).collect() if r["taken"]}
     assert {r["doc_id"] for r in kept["mixing"].collect()} == set(want)
     own = bpe.WordBpe(bpe.default_path())
