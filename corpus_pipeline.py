@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import bpe, exact, mixing, quality, simhash
+from rollcall.llm import bpe, exact, mixing, quality, similar
 from rollcall.llm.frames import checkpoint_folder, table
 
 
@@ -21,8 +21,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return simhash.dedup(docs)
+    """Of each group of near copies, by five-word shingles of similarity 0.8 or more, the document with
+    the smallest id stays."""
+    return similar.dedup(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
