@@ -150,28 +150,31 @@ def resolve_name(first: Column, last: Column, full: Column) -> tuple[Column, Col
     return F.when(apart, first).otherwise(given), F.when(apart, last).otherwise(family), F.when(apart, F.trim(F.concat(first, F.lit(" "), last))).otherwise(full)
 
 
-def given_relation(ka: Column, kb: Column) -> Column:
+def _blank_or_equal(x: Column, y: Column) -> Column:
+    return F.when((x == "") | (y == ""), "unknown").when(x == y, "exact")
+
+
+def given_relation(x: Column, y: Column) -> Column:
     """exact, initial, prefix, conflict or unknown, of two given-name keys."""
-    words = lambda k: F.split(F.trim(F.regexp_replace(k, r"(?U)[-\s]+", " ")), " ", -1)
-    ta, tb = words(ka), words(kb)
-    swap = F.size(ta) > F.size(tb)
-    short, long_ = F.when(swap, tb).otherwise(ta), F.when(swap, ta).otherwise(tb)
-    s, l = (F.when(F.length(ka) <= F.length(kb), x).otherwise(y) for x, y in ((ka, kb), (kb, ka)))
-    decided = F.when((ka == "") | (kb == ""), "unknown").when(ka == kb, "exact")
-    decided = decided.when(is_initial(ka) | is_initial(kb), F.when(F.substring(ka, 1, 1) == F.substring(kb, 1, 1), "initial").otherwise("conflict"))
-    decided = decided.when((F.size(short) < F.size(long_)) & (F.slice(long_, F.lit(1), F.size(short)) == short), "prefix")
-    enough = (F.length(s) >= tx.GIVEN_PREFIX_LENGTH) & (F.length(l) - F.length(s) >= tx.GIVEN_PREFIX_GAP)
-    decided = decided.when(F.startswith(l, s), F.when(enough, "prefix").otherwise("unknown"))
-    alike = similar_where(decided.isNull(), ka, kb)
-    return F.coalesce(decided, F.when(alike < tx.GIVEN_CONFLICT_BELOW, "conflict").otherwise("unknown"))
-
-
-def family_relation(ka: Column, kb: Column) -> Column:
+    by_length = F.array_sort(F.array(*(F.struct(F.length(k).alias("n"), k.alias("k")) for k in (x, y))))
+    least, most = by_length[0], by_length[1]
+    parts = F.array_sort(F.transform(F.array(x, y), lambda k: F.struct(F.size(t := F.split(F.trim(F.regexp_replace(k, r"(?U)[-\s]+", " ")), " ", -1)).alias("n"), t.alias("t"))))
+    fewer, more = parts[0], parts[1]
+    begins = (fewer["n"] < more["n"]) & (F.slice(more["t"], F.lit(1), fewer["n"]) == fewer["t"])
+    cut_short = (least["n"] >= tx.GIVEN_PREFIX_LENGTH) & (most["n"] - least["n"] >= tx.GIVEN_PREFIX_GAP)
+    known = _blank_or_equal(x, y).when(
+        is_initial(x) | is_initial(y), F.when(F.substring(x, 1, 1) == F.substring(y, 1, 1), "initial").otherwise("conflict")).when(
+        begins, "prefix").when(F.startswith(most["k"], least["k"]), F.when(cut_short, "prefix").otherwise("unknown"))
+    unlike = similar_where(known.isNull(), x, y) < tx.GIVEN_CONFLICT_BELOW
+    return F.coalesce(known, F.when(unlike, "conflict"), F.lit("unknown"))
+
+
+def family_relation(x: Column, y: Column) -> Column:
     """exact, similar, conflict or unknown, of two family-name keys."""
-    decided = F.when((ka == "") | (kb == ""), "unknown").when(ka == kb, "exact")
-    decided = decided.when(F.least(F.length(ka), F.length(kb)) < tx.FAMILY_FUZZY_LENGTH, "conflict")
-    alike = similar_where(decided.isNull(), ka, kb, tx.FAMILY_SIMILAR_FROM)
-    return F.coalesce(decided, F.when(alike >= tx.FAMILY_SIMILAR_FROM, "similar").otherwise("conflict"))
+    known = _blank_or_equal(x, y)
+    long_enough = F.least(F.length(x), F.length(y)) >= tx.FAMILY_FUZZY_LENGTH
+    alike = similar_where(known.isNull() & long_enough, x, y, tx.FAMILY_SIMILAR_FROM) >= tx.FAMILY_SIMILAR_FROM
+    return F.coalesce(known, F.when(alike, "similar"), F.lit("conflict"))
 
 
 def compact(c: Column) -> Column:

@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set, as in tests."""
+    """The cluster's shared folder; one of our own only where none is set and all is one machine, as in tests."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else tempfile.mkdtemp(prefix="rollcall-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="rollcall-")
     if not held.isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import taxonomy as tx
 from ..functions import text as nz
 from .components import connected, cut
+from .verdicts import pair_verdict
 
 SCORED = (
     "id", "display_name", "given_name", "family_name", "family_key", "company", "company_norm", "email", "email_local", "email_domain",
@@ -17,8 +18,14 @@ SCORED = (
 SIGNAL = "struct<ord:int,name:string,points:int,reason:string>"
 
 
+FOLDED = ("given_key", "_local", "_given", "_family")
+
+
 def scoring_view(leads: DataFrame, *carried: str) -> DataFrame:
-    """The columns that blocking and scoring read, with folded keys made once for each record."""
+    """The columns that blocking and scoring read, with folded keys made once for each record; a view
+    of a view is the same."""
+    if set(FOLDED) <= set(leads.columns):
+        return leads.select(*SCORED, *FOLDED, *carried)
     at = leads.select(*SCORED, *carried)
     return at.withColumns({
         "given_key": nz.name_key(F.col("given_name")), "_local": nz.compact(F.col("email_local")),
@@ -138,6 +145,12 @@ def score_pairs(leads: DataFrame, pairs: DataFrame) -> DataFrame:
     return scored(at)
 
 
+def scored_candidates(leads: DataFrame, most: int = tx.BLOCK_MOST) -> DataFrame:
+    """Candidate pairs with their scores; records are projected once for blocking and scoring."""
+    view = cut(scoring_view(leads))
+    return score_pairs(view, candidate_pairs(view, most))
+
+
 @dataclass
 class Duplicates:
     """Groups, review pairs and one row of statistics."""
@@ -176,6 +189,7 @@ def build_groups(leads: DataFrame, pairs: DataFrame, check_most: int = tx.GROUP_
 
 def find_duplicates(leads: DataFrame, min_score: int | None = None, include_review: bool = True, verdicts: DataFrame | None = None, block_most: int = tx.BLOCK_MOST, check_most: int = tx.GROUP_CHECK_MOST) -> Duplicates:
     """The whole pass.  ``verdicts`` (left_id, right_id, verdict JSON) annotate review pairs only."""
+    leads = cut(scoring_view(leads))
     candidates = cut(candidate_pairs(leads, block_most))
     pairs = cut(score_pairs(leads, candidates).drop("l", "r"))
     review = pairs.filter((F.col("confidence") == "medium") & (F.col("score") >= (tx.MEDIUM_FROM if min_score is None else min_score)))
@@ -193,8 +207,6 @@ def annotate(review: DataFrame, verdicts: DataFrame | None) -> DataFrame:
     """Review pairs with an adjudication where a verdict holds to its contract; none is dropped."""
     if verdicts is None:
         return review.withColumn("adjudication", F.lit(None).cast("string"))
-    from .verdicts import pair_verdict
-
     v = pair_verdict(F.col("verdict"))
     label = F.concat(F.lit("llm: "), F.when(v["same_person"], "same person").otherwise("different people"), F.when(v["confident"], " (confident)").otherwise(" (uncertain)"), F.when(v["reason"] != "", F.concat(F.lit(" — "), v["reason"])).otherwise(""))
     own = verdicts.select("left_id", "right_id", F.when(v.isNotNull(), label).alias("adjudication"))

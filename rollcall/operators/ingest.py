@@ -46,11 +46,12 @@ def candidates(leads: DataFrame, subs: DataFrame) -> DataFrame:
 def match(leads: DataFrame, subs: DataFrame) -> DataFrame:
     """(sub, matched_id, matched_by, score, confidence, reasons, possible_duplicates) for each
     submission against the snapshot ``leads``: the tiers, best scored first within each."""
-    view = scoring_view(leads)
+    view = cut(scoring_view(leads))
     rows = view.select("id", F.struct(*view.columns).alias("r"))
+    subs = cut(subs.select("sub", "lead"))
     incoming = scoring_view(subs.select("sub", "lead.*"), "sub")
     incoming = incoming.select("sub", F.struct(*(c for c in incoming.columns if c != "sub")).alias("l"))
-    pairs = scored(candidates(leads, subs).join(rows, "id").join(incoming, "sub"))
+    pairs = scored(candidates(view, subs).join(rows, "id").join(incoming, "sub"))
     l, r = F.col("l"), F.col("r")
     email, phone = ((l[c] != "") & (l[c] == r[c]) for c in ("email", "phone_digits"))
     tier = F.when(email & ~F.col("identity_conflict"), 1).when(phone & F.col("given").isin(*COMPATIBLE) & (F.col("family") != "conflict"), 2)

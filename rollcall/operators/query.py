@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import taxonomy as tx
 
+ESCAPE = "\u0001"
 
 
 def canonical_status(value: str | None) -> str | None:
@@ -40,8 +41,9 @@ class LeadFilters:
             if value and value.strip():
                 out.append(F.lower(column) == " ".join(value.lower().split()))
         if self.q and self.q.strip():
-            sample = f"%{' '.join(self.q.lower().split())}%".replace("'", "''")  # % and _ in it are wild
-            out.append(reduce(lambda a, b: a | b, (F.expr(f"lower({c}) LIKE r'{sample}' ESCAPE '\u0001'") for c in ("display_name", "company", "email"))))
+            # % and _ in it are wild; an escape of its own leaves backslashes and quotes as they are.
+            sample = F.lit(f"%{' '.join(self.q.lower().split())}%".replace(ESCAPE, 2 * ESCAPE))
+            out.append(reduce(lambda a, b: a | b, (F.like(F.lower(c), sample, F.lit(ESCAPE)) for c in ("display_name", "company", "email"))))
         return out
 
     def apply(self, leads: DataFrame) -> DataFrame:
@@ -98,11 +100,3 @@ def next_id(leads: DataFrame) -> DataFrame:
 def ambiguous_notes(leads: DataFrame) -> DataFrame:
     """Distinct notes that no rule decided."""
     return leads.filter((F.col("source_method") == "fallback") & (F.trim("notes") != "")).select(F.trim("notes").alias("notes")).distinct()
-
-
-def top(ranked: DataFrame, by: list[Column], limit: int) -> DataFrame:
-    return ranked.orderBy(*by).limit(limit)
-
-
-def ranks(rows: DataFrame, key: str, by: list[Column]) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*by)))

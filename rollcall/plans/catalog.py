@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +14,7 @@ from ..functions import source as src
 from ..functions import taxonomy as tx
 from ..functions import text as nz
 from ..operators import dedupe, ingest, query, verdicts
-from ..operators.components import connected
+from ..operators.components import checkpoint_folder, connected, cut
 from ..sources import leads as io
 from . import fixture, oracle
 
@@ -60,6 +63,17 @@ on_leads("filter_status", oracle.leads("SELECT id, status FROM lead WHERE status
 on_leads("filter_owner", oracle.leads("SELECT id, owner FROM lead WHERE lower(owner) = 'marcus wong'"), lambda d: query.LeadFilters(owner="Marcus  WONG ").apply(d).select("id", "owner"))
 on_leads("filter_country", oracle.leads("SELECT id, country FROM lead WHERE lower(country) = 'south korea'"), lambda d: query.LeadFilters(country="south korea").apply(d).select("id", "country"))
 on_leads("filter_q", oracle.leads("SELECT id FROM lead WHERE lower(display_name) LIKE '%ike f_ster%' OR lower(company) LIKE '%ike f_ster%' OR lower(email) LIKE '%ike f_ster%'"), lambda d: query.LeadFilters(q="ike F_ster").apply(d).select("id"))
+_ODD = "replace(replace(display_name, 'Osei', 'O''Sei'), 'Lim', 'L_m')", "replace(company, 'Labs', 'Labs\\100%')"
+
+
+def _odd(d: DataFrame) -> DataFrame:
+    """Names and companies with quotes, wild cards and backslashes."""
+    name = F.replace(F.replace("display_name", F.lit("Osei"), F.lit("O'Sei")), F.lit("Lim"), F.lit("L_m"))
+    return d.withColumns({"display_name": name, "company": F.replace("company", F.lit("Labs"), F.lit("Labs\\100%"))})
+
+
+for _name, _q in (("quote", "o'sei"), ("backslash", "labs\\1"), ("wild", "l_m"), ("percent", "labs%100"), ("quotes", "''")):
+    on_leads(f"filter_q_{_name}", oracle.leads(f"SELECT id, n AS display_name, c AS company FROM (SELECT id, email, {_ODD[0]} AS n, {_ODD[1]} AS c FROM lead) WHERE " + " OR ".join(f"lower({x}) LIKE '%{_q.replace(chr(39), chr(39) * 2)}%'" for x in ("n", "c", "email"))), lambda d, q=_q: query.LeadFilters(q=q.upper()).apply(_odd(d)).select("id", "display_name", "company"))
 on_leads("filter_combined", oracle.leads("SELECT id FROM lead WHERE status = 'New' AND lower(country) = 'singapore' AND (lower(display_name) LIKE '%a%' OR lower(company) LIKE '%a%' OR lower(email) LIKE '%a%')"), lambda d: query.LeadFilters(status="new", country="SINGAPORE", q="a").apply(d).select("id"))
 on_leads("page_first", oracle.leads("SELECT id, created_at FROM lead ORDER BY created_at IS NULL, created_at DESC, id LIMIT 50"), lambda d: query.page(d).select("id", "created_at"))
 on_leads("page_deep", oracle.leads("SELECT id, created_at FROM lead ORDER BY created_at IS NULL, created_at DESC, id LIMIT 25 OFFSET 100"), lambda d: query.page(d, 25, 100).select("id", "created_at"))
@@ -93,7 +107,7 @@ round((SELECT count(*) * (count(*) - 1) / 2 FROM lead) / (SELECT count(*) FROM c
 
 
 def _scores(d: DataFrame) -> DataFrame:
-    return dedupe.score_pairs(d, dedupe.candidate_pairs(d))
+    return dedupe.scored_candidates(d)
 
 
 on_leads("pair_scores", oracle.pairs("SELECT left_id, right_id, score, confidence, identity_conflict, contact_evidence FROM scored"), lambda d: _scores(d).select("left_id", "right_id", "score", "confidence", "identity_conflict", "contact_evidence"))
@@ -198,3 +212,58 @@ def ingest_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pair_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Explained scores; texts are held against a scorer of plain Python in the tests."""
     return _scores(_leads(spark, sf_dir)).select("left_id", "right_id", "score", "reasons")
+
+
+def _shared(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query_of(ORACLES["lead_projection"])
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw rows written as a CSV export, read by the scan and projected."""
+    raw, folder = _raw(spark, sf_dir), _shared(spark, "csv")
+    raw.write.csv(folder, header=True, quote='"', escape='"', emptyValue="")
+    columns = [c for c in tx.RAW_COLUMNS if c in raw.columns]
+    kept = spark.read.csv(folder, schema=raw.select(*raw.columns).schema, header=True, multiLine=True, quote='"', escape='"')
+    return io.project_leads(kept.select(*(F.col(f"`{c}`") for c in columns))).select(*_PLAIN)
+
+
+@query_of(ORACLES["lead_projection"])
+def load_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV export bulk-loaded into a table of records, and the table's rows."""
+    raw, folder, target = _raw(spark, sf_dir), _shared(spark, "export"), _shared(spark, "table")
+    raw.select(*((F.col(f"`{c}`") if c in raw.columns else F.lit("")).alias(c) for c in tx.RAW_COLUMNS)).write.csv(folder, header=True, quote='"', escape='"', emptyValue="")
+    io.load(spark, folder, target)
+    return spark.read.parquet(target).select(*_PLAIN)
+
+
+@query_of(ORACLES["submission_rejects"].replace("CAST(sub AS BIGINT) AS sub, email", "name, email, form_id"))
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Submissions written as JSON lines, read by the scan and validated: those rejected."""
+    folder = _shared(spark, "json")
+    fixture.raw_submissions(spark, sf_dir).drop("sub").write.json(folder)
+    return io.valid_submissions(io.read_submissions(spark, folder, lines=True))[1].select("name", "email", "form_id")
+
+
+@query_of(oracle.leads("SELECT id, email FROM lead UNION ALL SELECT 'n' || id, 'new@' || id || '.example' FROM lead WHERE CAST(id AS BIGINT) % 50 = 0"))
+def insert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _leads(spark, sf_dir)
+    more = d.filter(F.col("id").cast("long") % 50 == 0).withColumns({"email": F.concat(F.lit("new@"), "id", F.lit(".example")), "id": F.concat(F.lit("n"), "id")})
+    return io.insert(d, more).select("id", "email")
+
+
+class _Judge:
+    """A client without a model: the same person where the two fenced e-mails are of one domain."""
+
+    def complete(self, system: str, user: str, schema: str) -> str | None:
+        domains = re.findall(r"email: \S*@(\S+)", user)
+        same = len(domains) == 2 and domains[0] == domains[1]
+        return json.dumps({"same_person": same, "confident": same, "reason": "domains"})
+
+
+@query_of(oracle.pairs("SELECT left_id, right_id, 'llm: ' || CASE WHEN a.email_domain <> '' AND a.email_domain = b.email_domain THEN 'same person (confident)' ELSE 'different people (uncertain)' END || ' — domains' AS adjudication FROM scored JOIN lead a ON a.id = left_id JOIN lead b ON b.id = right_id WHERE confidence = 'medium'"))
+def adjudicated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review pairs with the verdicts of an injected client."""
+    leads = _leads(spark, sf_dir)
+    review = cut(dedupe.find_duplicates(leads).review)
+    return dedupe.annotate(review.drop("adjudication"), verdicts.adjudicate_pairs(leads, review, _Judge)).select("left_id", "right_id", "adjudication")
