@@ -137,7 +137,7 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY, shingle_words: int =
     named = cut(grouped(docs, similarity, shingle_words, bucket_rows).groupBy("root", "doc_id", "hi", "lo").agg(F.count("*").alias("n")))
     best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hi", "lo")).alias("best"))
     stay = best.select("root", F.col("best.doc_id").alias("_id"), F.col("best.hi").alias("_hi"), F.col("best.lo").alias("_lo"))
-    marked = cut(named.join(stay, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo"))).select("doc_id", "hi", "lo", "n", "stays"))
+    marked = cut(named.join(cut(stay), "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo"))).select("doc_id", "hi", "lo", "n", "stays"))
     twice = not marked.filter("stays AND n > 1").isEmpty()
     ids = marked.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL")
     if ids.isEmpty() and not twice:  # every id names one text: its id is enough, no second fingerprint
