@@ -6,7 +6,7 @@ ledger lacks, appends them, and joins findings back to all paths.  Of many paths
 smallest id's text is the one that is read; texts are joined by id and blob, so neither a blob with a
 third of all paths nor rows without an id meet in a single task, and the join back is of thin rows
 whose skewed side Spark may split.  Where few blobs are new, their addresses are broadcast (after a
-check of their number) and texts aren't shuffled at all.  Of the ledger only what this scan's blobs
+check of their number against the session's own bound on broadcasts) and texts aren't shuffled at all.  Of the ledger only what this scan's blobs
 need is read beyond its addresses.
 
 Spans are code points, end exclusive.  A text is split by a rule's pattern and the matches are taken
@@ -40,8 +40,8 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 VERSION = "1"
-#: New blobs whose addresses may be broadcast, about 100 bytes each.
-MOST_BROADCAST = 100_000
+#: Bytes that a new blob's address takes in a broadcast.
+ADDRESS_BYTES = 150
 SPAN = "struct<start:bigint,ord:int,end:bigint,kind:string>"
 LEDGER = f"blob string, version string, spans array<{SPAN}>"
 
@@ -83,7 +83,8 @@ def scan(docs: DataFrame, ledger: str, rules=RULES, version: str = VERSION) -> D
     known = _ledger(spark, ledger).filter(F.col("version") == version)
     blobs = cut(paths.groupBy("blob").agg(F.min("doc_id").alias("rep")))
     new = cut(blobs.join(known.select("blob"), "blob", "left_anti").withColumnRenamed("blob", "_blob"))
-    new = F.broadcast(new) if new.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else new.hint("shuffle_hash")
+    most = max(0, spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold() // ADDRESS_BYTES)
+    new = F.broadcast(new) if new.limit(most + 1).count() <= most else new.hint("shuffle_hash")
     addressed = rows.withColumn("blob", F.sha2(F.col("_t").cast("binary"), 256))
     texts = addressed.join(new, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("blob") == F.col("_blob")))
     found = scanned(texts.select("blob", "_t"), rules).select("blob", F.lit(version).alias("version"), "spans")
