@@ -208,10 +208,10 @@ def ingest_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.ingest(_leads(spark, sf_dir), _subs(spark, sf_dir), NOW).outcomes.select("sub", "action", "lead_id", "matched_by", "score", "confidence")
 
 
-@query_of()
+@query_of(oracle.pairs("SELECT left_id, right_id, score, array_to_string(told, '; ') AS reasons FROM said", oracle.REASONS))
 def pair_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Explained scores; texts are held against a scorer of plain Python in the tests."""
-    return _scores(_leads(spark, sf_dir)).select("left_id", "right_id", "score", "reasons")
+    """Explained scores: the texts in the order shown."""
+    return _scores(_leads(spark, sf_dir)).select("left_id", "right_id", "score", F.array_join("reasons", "; ").alias("reasons"))
 
 
 def _shared(spark: SparkSession, name: str) -> str:

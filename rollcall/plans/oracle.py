@@ -153,6 +153,38 @@ def pairs(body: str, more: str = "", recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{LEADS}, {KEYS}, {tables()}, {scores('scored', 'cand')}{more}\n{body}"
 
 
+def _said(x: str) -> str:
+    return f"CASE WHEN {x} = '' THEN '(blank)' ELSE '''' || {x} || '''' END"
+
+
+def _both(c: str) -> str:
+    return f"' (' || {_said(f'l.{c}')} || ' / ' || {_said(f'r.{c}')} || ')'"
+
+
+#: Order, condition on the parts of a score, points, text.
+_REASONS = (
+    (1, "p_email = 45", 45, f"'identical email ' || {_said('l.email')}"),
+    (1, "p_email = 8", 8, f"'same email domain ' || {_said('l.email_domain')}"),
+    (2, "p_phone = 40", 40, "'identical phone number'"),
+    (2, "p_phone = 30", 30, "'phone numbers agree apart from country-code formatting'"),
+    (3, "fam = 'exact'", 12, f"'family name matches ' || {_said('l.family_name')}"),
+    (3, "fam = 'similar'", 6, f"'family names differ by a likely typo' || {_both('family_name')}"),
+    (3, "fam = 'conflict'", -25, f"'family names differ' || {_both('family_name')}"),
+    (4, "giv = 'exact'", 15, f"'given name matches ' || {_said('l.given_name')}"),
+    (4, "giv = 'prefix'", 10, f"'one given name is a shortening of the other' || {_both('given_name')}"),
+    (4, "giv = 'initial'", 5, f"'given name initial is compatible' || {_both('given_name')}"),
+    (4, "giv = 'conflict'", -25, f"'given names differ' || {_both('given_name')}"),
+    (5, "p_local = 8", 8, f"'both email local parts spell the same person' || {_both('email_local')}"),
+    (5, "p_local = 4", 4, "'email local parts are similar'"),
+    (6, "p_company = 5", 5, f"'same company ' || {_said('l.company')}"),
+    (7, "p_country = 4", 4, f"'same country ' || {_said('l.country')}"),
+    (8, "p_day = 10", 10, "'both created on ' || l.created_at"),
+)
+_TOLD = ", ".join(f"CASE WHEN {when} THEN {{'p': {-abs(n)}, 'o': {order}, 't': {text} || ' ({n:+d})'}} END" for order, when, n, text in _REASONS)
+REASONS = f""",
+said AS (SELECT left_id, right_id, scored.score, list_transform(list_sort(list_filter([{_TOLD}], lambda x: x IS NOT NULL)), lambda x: x.t) AS told
+  FROM scored JOIN lead l ON l.id = left_id JOIN lead r ON r.id = right_id)"""
+
 COMPONENTS = """,
 high AS (SELECT left_id, right_id FROM scored WHERE confidence = 'high'),
 both_ways AS (SELECT left_id AS a, right_id AS b FROM high UNION SELECT right_id, left_id FROM high),
