@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import beside_least, components
 from .frames import cut, one_each, packed, small, table, text_rows, unpacked
 
 SHINGLE_WORDS = 4
@@ -282,9 +282,7 @@ def near_groups(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
 def _named(thin: DataFrame, bucket_rows: int) -> DataFrame:
     nodes = cut(thin.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(nodes, bucket_rows)).select(F.col("node").alias("fp"), "root")
-    linked = nodes.join(roots, "fp")
-    least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    named = linked.join(least, "root").select("fp", "least", "root")
+    named = beside_least(nodes.join(roots, "fp"), "root", "first", "least").select("fp", "least", "root")
     of = nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"), F.coalesce("root", "fp").alias("root"))
     return thin.join(cut(of), "fp")  # straight from its own exchange, so Spark may split a hot fingerprint's rows
 
