@@ -187,7 +187,7 @@ CASE WHEN e.source_needs_review AND NOT i.source_needs_review THEN i.source_chan
 FROM picked JOIN sub i USING (sub) JOIN lead e ON e.id = matched_id"""))
 def ingest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     leads, subs = _leads(spark, sf_dir), _subs(spark, sf_dir)
-    found = subs.join(ingest.match(leads, subs).filter("matched_id IS NOT NULL"), "sub")
+    found = subs.join(ingest.matched(leads, subs).filter("matched_id IS NOT NULL"), "sub")
     rows = leads.select(F.col("id").alias("matched_id"), F.struct(*tx.LEAD_COLUMNS).alias("held"))
     kept = ("company", "country", "phone", "email", "created_at", "last_modified_at", "source_channel")
     return ingest.merged(found.join(rows, "matched_id"), NOW).select("sub", "matched_id", *(F.col(f"record.{c}") for c in kept))

@@ -1,7 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from rollcall.functions import taxonomy as tx
 from rollcall.operators import ingest
+from rollcall.operators.dedupe import scored, scoring_view
+from rollcall.plans import catalog
 from rollcall.sources import leads as io
 from tests.test_leads import raw
 
@@ -101,3 +104,22 @@ def test_stream(spark, tmp_path):
         assert q.exception() is None
     assert stream.current_version(spark, table) == 2
     assert spark.read.parquet(f"{stream.version_path(table, 2)}/leads").count() == 2 and spark.read.json(f"{stream.version_path(table, 2)}/rejected").count() == 1
+
+
+def scored_rows(monkeypatch):
+    """Counts of the pairs that go into a scoring, filled as they are made."""
+    counts = []
+    monkeypatch.setattr(ingest, "scored", lambda pairs: (counts.append(pairs.count()), scored(pairs))[1])
+    return counts
+
+
+def test_no_score_without_a_contact_key_is_high():
+    most = tx.EMAIL_DOMAIN + tx.FAMILY_EXACT + tx.GIVEN_EXACT + tx.LOCALPART_NAME_DERIVED + tx.COMPANY_SIMILAR + tx.COUNTRY_EXACT + tx.CREATED_SAME_DAY
+    assert most < tx.HIGH_FROM and most - tx.EMAIL_DOMAIN - tx.GIVEN_EXACT + tx.GIVEN_CONFLICT < tx.MEDIUM_FROM
+
+
+@pytest.mark.parametrize("query", ["ingest_merge"])
+def test_records_without_a_contact_key_are_not_scored_for_a_match(spark, monkeypatch, query):
+    counts = scored_rows(monkeypatch)
+    assert catalog.QUERIES[query](spark, "/root/testdata/sf0.01").count() == 48
+    assert sum(counts) < 200  # of 1,639 candidates
