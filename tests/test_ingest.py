@@ -106,6 +106,46 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(f"{stream.version_path(table, 2)}/leads").count() == 2 and spark.read.json(f"{stream.version_path(table, 2)}/rejected").count() == 1
 
 
+def crowd(spark):
+    """Namesakes in one country by many spellings, days and contact keys, and submissions that reach them."""
+    given, days, phones = ("Christopher", "Chris", "C.", "Priya", "", "Jun Wei", "Jun"), ("2026-01-05", "2026-02-06", ""), ("", "+65 8000 1111", "65 8000 1111", "1234567", "80001111", "0165 8000 1111")
+    lead = [{"First Name": given[k % 7], "Last Name": ("Osei", "osei", "Nair")[k % 5 % 3], "Email": ("", f"c{k}.osei@a{k % 4}.com", "chris.osei@a1.com", "christopherosei@b.com")[k % 11 % 4], "Phone Number": phones[k % 13 % 6],
+             "Country/Region": ("ghana", "Ghana", "")[k % 17 % 3], "Create Date": days[k % 19 % 3], "Company Name": ("Osei Labs", "Osei Trading Ltd", "")[k % 23 % 3]} for k in range(120)]
+    sub = [{"name": f"{given[k % 7]} Osei".strip(), "email": (f"x{k}@new.com", "chris.osei@a1.com", f"c.osei@a{k % 4}.com", f"chrisosei{k}@n.com")[k % 4], "phone": phones[k % 5 * (k % 4 == 0)], "country": ("ghana", "")[k % 6 == 5], "company": ("", "Osei Trading")[k % 3 == 0], "submitted_at": ("2026-01-05T00:00:00Z", "", "2026-02-06")[k % 3]} for k in range(40)]
+    return leads_of(spark, *lead), subs_of(spark, *sub)
+
+
+def told(row):
+    return row["matched_id"], row["matched_by"], row["score"], row["confidence"], row["reasons"], [tuple(d) for d in row["possible_duplicates"]]
+
+
+def test_match_is_the_match_by_all_scored_candidates(spark, monkeypatch):
+    leads, subs = crowd(spark)
+    views = scoring_view(leads), scoring_view(subs.select("sub", "lead.*"), "sub")
+    every = scored(views[1].select("sub", F.struct(*(c for c in views[1].columns if c != "sub")).alias("l")).crossJoin(views[0].select(F.struct("*").alias("r"))))
+    want = {r["sub"]: [] for r in subs.select("sub").collect()}
+    for p in every.select("sub", "l", "r", "score", "confidence", "reasons", "given", "family", "identity_conflict").collect():
+        l, r = p["l"], p["r"]
+        keys = [[x["email"], x["phone_last9"], x["email_domain"] and x["family_key"] and (x["email_domain"], x["family_key"]), x["family_key"] and (x["family_key"], x["country"].lower())] for x in (l, r)]
+        if probe := next((n + 1 for n in range(4) if keys[0][n] and keys[0][n] == keys[1][n]), 0):
+            email, phone = (l[c] != "" and l[c] == r[c] for c in ("email", "phone_digits"))
+            tier = 1 if email and not p["identity_conflict"] else 2 if phone and p["given"] in ingest.COMPATIBLE and p["family"] != "conflict" else 3
+            want[p["sub"]].append(((-p["score"], probe, r["id"]), tier, email or phone, p))
+    for sub, rows in want.items():
+        rows.sort(key=lambda x: x[0])
+        contact = any(x[2] for x in rows)
+        pick = min((x for x in rows if x[1] < 3), key=lambda x: (x[1], x[0]), default=None)
+        if not pick and not contact and rows and rows[0][3]["confidence"] == "high":
+            pick = rows[0]
+        dups = [x for x in rows if x[2]] + [x for x in rows if not x[2] and x[3]["confidence"] != "low"]
+        p = pick and pick[3]
+        want[sub] = (p["r"]["id"], ("email", "phone", "score")[pick[1] - 1], p["score"], p["confidence"], p["reasons"], []) if pick else (None, None, None, None, None, [(x[0][2], -x[0][0], x[3]["confidence"]) for x in dups])
+    assert {w[1] for w in want.values()} == {None, "email", "phone"} and sum(len(w[5]) for w in want.values()) > 100
+    for busy in (64, 1):  # 1: every block is dealt over shares
+        monkeypatch.setattr(ingest, "BUSY", busy, raising=False)
+        assert {r["sub"]: told(r) for r in ingest.match(leads, subs).collect()} == want
+
+
 def scored_rows(monkeypatch):
     """Counts of the pairs that go into a scoring, filled as they are made."""
     counts = []
@@ -123,3 +163,13 @@ def test_records_without_a_contact_key_are_not_scored_for_a_match(spark, monkeyp
     counts = scored_rows(monkeypatch)
     assert catalog.QUERIES[query](spark, "/root/testdata/sf0.01").count() == 48
     assert sum(counts) < 200  # of 1,639 candidates
+
+
+def test_namesakes_are_scored_by_profile(spark, monkeypatch):
+    counts = scored_rows(monkeypatch)
+    leads = leads_of(spark, *({**AMA, "Email": "", "Phone Number": "", "Company Name": ("Asante Labs", "Asante Trading")[k % 2]} for k in range(300)))
+    subs = subs_of(spark, *({"name": "Ama Asante", "email": f"q{k}@q{k}.com", "country": "singapore", "company": "Asante Labs"} for k in range(5)))
+    names = leads.select(F.first("country")).first()[0]
+    subs = subs.withColumn("lead", F.col("lead").withField("country", F.lit(names)))
+    got = ingest.match(leads, subs).collect()
+    assert [len(r["possible_duplicates"]) for r in got] == [150] * 5 and sum(counts) <= 2 * 5  # not 300 * 5
