@@ -198,7 +198,7 @@ def ingest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM sub WHERE sub NOT IN (SELECT sub FROM picked)"""))
 def ingest_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     leads, subs = _leads(spark, sf_dir), _subs(spark, sf_dir)
-    found = subs.join(ingest.match(leads, subs).filter("matched_id IS NULL").select("sub"), "sub").withColumn("new_id", F.lit("x"))
+    found = subs.join(ingest.matched(leads, subs).filter("matched_id IS NULL").select("sub"), "sub").withColumn("new_id", F.lit("x"))
     return ingest.created(found, NOW).select("sub", *(F.col(f"record.{c}") for c in ("display_name", "email", "status", "lifecycle_stage", "created_at", "source_channel", "notes")))
 
 

@@ -158,7 +158,7 @@ def test_no_score_without_a_contact_key_is_high():
     assert most < tx.HIGH_FROM and most - tx.EMAIL_DOMAIN - tx.GIVEN_EXACT + tx.GIVEN_CONFLICT < tx.MEDIUM_FROM
 
 
-@pytest.mark.parametrize("query", ["ingest_merge"])
+@pytest.mark.parametrize("query", ["ingest_merge", "ingest_new"])
 def test_records_without_a_contact_key_are_not_scored_for_a_match(spark, monkeypatch, query):
     counts = scored_rows(monkeypatch)
     assert catalog.QUERIES[query](spark, "/root/testdata/sf0.01").count() == 48
