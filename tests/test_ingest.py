@@ -173,3 +173,16 @@ def test_namesakes_are_scored_by_profile(spark, monkeypatch):
     subs = subs.withColumn("lead", F.col("lead").withField("country", F.lit(names)))
     got = ingest.match(leads, subs).collect()
     assert [len(r["possible_duplicates"]) for r in got] == [150] * 5 and sum(counts) <= 2 * 5  # not 300 * 5
+
+
+def test_candidates_are_not_shuffled_once_they_are_paired(spark, monkeypatch):
+    leads, subs = crowd(spark)
+    keys = lambda r: [r["email"], r["phone_last9"], r["email_domain"] and r["family_key"] and (r["email_domain"], r["family_key"]), r["family_key"] and (r["family_key"], r["country"].lower())]
+    want = {(s["sub"], r["id"], same[0] + 1) for s in subs.collect() for r in leads.collect() if (same := [n for n, (a, b) in enumerate(zip(keys(s["lead"]), keys(r))) if a and a == b])}
+    for busy in (64, 1):
+        monkeypatch.setattr(ingest, "BUSY", busy, raising=False)
+        found = ingest.candidates(leads, subs)
+        rows = [tuple(r) for r in found.collect()]
+        assert set(rows) == want and len(rows) == len(want)
+    above = found._jdf.queryExecution().optimizedPlan().toString().split("Join ")[0]
+    assert "Aggregate" not in above and "Repartition" not in above
